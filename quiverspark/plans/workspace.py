@@ -52,3 +52,13 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """A partition count that follows the input's size, at least the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / bytes_each))
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a working table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quiverspark/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
