@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverspark.llm import packing, token_store
+from quiverspark.llm import near_dup, packing, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.op1_token_store,
+        "op2_near_dup": near_dup.op2_near_dup,
         "op8_packing": packing.op8_packing,
     }
 
