@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words an executor process remembers; beyond it the memory starts anew (results do not depend on it).
-MEMO_WORDS = 400_000
+#: Words a worker process remembers; later ones are worked out for each batch (results do not depend on it).
+MEMO_WORDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,16 +51,17 @@ def lists_of(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arr
 class TokenIds:
     """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
 
-    Both vocabularies cut a text before every space or line feed that follows
-    another character (no pre-token reaches over that place), so each such chunk is
-    encoded once per process and looked up afterwards.  A text with any other white
-    space goes to the library whole, as the rule above was shown for these two only.
-    Special-token strings inside texts are ordinary text.
+    Both vocabularies cut a text at every single space or line feed that stands between
+    other characters (no pre-token reaches over that place), so a text is split there and
+    each chunk is encoded once per process and looked up afterwards.  New chunks are given
+    to the library many at a time, with a separator between them whose id no chunk has.
+    A text with any other white space, or with more of it at once, goes to the library
+    whole.  Special-token strings inside texts are ordinary text.
     """
 
-    #: Any white space but space and line feed, by the widest of the engines' definitions.
-    ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85﻿᠎​]")
-    CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    #: White space other than space and line feed, by the widest of the engines' definitions.
+    ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    JOINED = 64
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,25 +70,64 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = '"Lowercase"' in self.tokenizer.to_str().partition('"model"')[0]
+        self.drops_space = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.mark = "^" if self.drops_space else "\n"
+        self.separator = f" {self.mark} " if self.drops_space else self.mark
+        mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.ODD_SPACE.search(text):
-            return self._whole([text])[0]
-        chunks = text.replace("\n", " ").split(" ") if self.drops_space else self.CHUNKS.findall(text)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set(chunks).difference(memo))
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text's chunks, or None where it must be encoded whole."""
+        if not text.isascii():
+            if any(c in text for c in self.ODD_SPACE):
+                return None
+        elif any(c in text for c in self.ODD_SPACE[:8]):
+            return None
+        if self.drops_space:
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        if text[0] in " \n" or "  " in text or " \n" in text or "\n\n" in text:
+            return None
+        return f" \n{text}".replace("\n", " \n").split(" ")[2:]
+
+    def _learn(self, chunks: list[str]) -> None:
+        joined, alone = [], []
+        for c in chunks:
+            (alone if not c or self.mark_id is None or self.mark in c else joined).append(c)
+        before = "" if self.drops_space else " "
+        parts = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
+        together = [self.separator.join([before + c for c in part]) for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(together, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            if len(ends) != len(part):
+                raise ValueError("a chunk holds the separator's id")
+            data, at = ids.tobytes(), 0
+            for c, end in zip(part, ends.tolist(), strict=True):
+                self.memo[c] = data[4 * at : 4 * end]
+                at = end + 1
+        self.memo.update(zip(alone, self._whole([c if c[:1] == "\n" else before + c for c in alone]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._chunks(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for chunks in split:
+            if chunks:
+                new.update(chunks)
+        new.difference_update(self.memo)
         if new:
-            memo.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(memo.__getitem__, chunks))
+            self._learn(list(new))
+        memo = self.memo
+        whole = iter(self._whole([t for t, c in zip(texts, split, strict=True) if c is None]))
+        skip = 0 if self.drops_space else 4  # the line feed that was put before the text
+        out = [next(whole) if c is None else b"".join(map(memo.__getitem__, c))[skip:] for c in split]
+        if len(memo) > MEMO_WORDS:
+            for c in new:
+                del memo[c]
+        return out
 
 
 _PER_PROCESS: dict = {}

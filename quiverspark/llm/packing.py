@@ -53,8 +53,8 @@ def decompose(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TO
         ids_of, task, ranks = common.tokenizer(tokenizer), TaskContext.get().partitionId(), {}
         for batch in common.narrow_batches(batches, 500):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                data = ids_of.encode(text.as_py()) + end
+            for doc_id, data in zip(batch["doc_id"].to_pylist(), ids_of.encode(batch["text"].to_pylist()), strict=True):
+                data += end
                 n, at = len(data) // 4, 0
                 for length in binary_lengths(n, max_tokens):
                     rank = ranks.get(length, 0)

@@ -107,10 +107,10 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             return common.batch_of(PAYLOAD, [[shard], [block], [first], [doc_ids], [copies], [offsets], [lengths], [width], [b"".join(parts)]])
 
         for batch in common.narrow_batches(batches, 500):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc_id, data in zip(batch["doc_id"].to_pylist(), ids_of.encode(batch["text"].to_pylist()), strict=True):
                 copy = copy + 1 if doc_id == last else 0
                 last = doc_id
-                ids = np.concatenate((np.frombuffer(ids_of.encode(text.as_py()), dtype="<u4"), end))
+                ids = np.concatenate((np.frombuffer(data, dtype="<u4"), end))
                 doc_ids.append(doc_id)
                 copies.append(copy)
                 lengths.append(len(ids))
