@@ -61,9 +61,9 @@ class Shingler:
         words = text.encode().lower().split()
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        if len(self.memo) > common.MEMO_WORDS:
-            self.memo.clear()
         memo = self.memo
+        if len(memo) > common.MEMO_WORDS:
+            memo.clear()
         for w in set(words).difference(memo):
             memo[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
