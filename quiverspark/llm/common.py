@@ -133,12 +133,12 @@ class TokenIds:
 _PER_PROCESS: dict = {}
 
 
-def per_process(key, make: Callable):
-    """One object per worker process, for models and tokenizers that are slow to load."""
-    if key not in _PER_PROCESS:
-        _PER_PROCESS[key] = make()
-    return _PER_PROCESS[key]
+def per_process(kind: str, version: str, make: Callable):
+    """One object of a kind per worker process, made anew for another version."""
+    if _PER_PROCESS.get(kind, (None,))[0] != version:
+        _PER_PROCESS[kind] = (version, make())
+    return _PER_PROCESS[kind][1]
 
 
 def tokenizer(file: str) -> TokenIds:
-    return per_process(("ids", file), lambda: TokenIds(file))
+    return per_process("ids", file, lambda: TokenIds(file))

@@ -116,7 +116,7 @@ def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per document with the size, digest, packed bits and band keys of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of = common.per_process(("shingler", words), lambda: Shingler(words))
+        shingles_of = common.per_process("shingler", str(words), lambda: Shingler(words))
         for batch in common.narrow_batches(batches, 2000):
             sizes, digests, bits, bands, empty = [], [], [], [], np.zeros(0, dtype=np.int64)
             for text in batch["text"]:
@@ -303,7 +303,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of = common.per_process(("shingler", words), lambda: Shingler(words))
+        shingles_of = common.per_process("shingler", str(words), lambda: Shingler(words))
         for batch in common.narrow_batches(batches, 500):
             yield common.batch_of(schema, [batch["doc_id"], [shingles_of(t.as_py()).tobytes() for t in batch["text"]]])
 
