@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverspark.llm import near_dup, packing, quality, token_store, toxicity
+from quiverspark.llm import langid, near_dup, packing, pii, quality, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.op1_token_store,
         "op2_near_dup": near_dup.op2_near_dup,
+        "op3_pii": pii.op3_pii,
+        "op5_langid": langid.op5_langid,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_packing": packing.op8_packing,
         "op10_quality": quality.op10_quality,
