@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverspark.llm import langid, near_dup, packing, pii, quality, token_store, toxicity
+from quiverspark.llm import ann, langid, near_dup, packing, pii, quality, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_langid": langid.op5_langid,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_packing": packing.op8_packing,
+        "op9_ann": ann.op9_ann,
         "op10_quality": quality.op10_quality,
     }
 
