@@ -1 +1 @@
-"""Functions of the engine."""
+"""Functions over columns: text scoring and embeddings."""
