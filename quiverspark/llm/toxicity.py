@@ -193,19 +193,25 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], options:
     """Fit on given rows; every fifth row is kept back to calibrate the thresholds."""
     rng = np.random.default_rng(options.seed)
     y = np.asarray(labels, dtype=np.float32)
-    words = [t.lower().split() for t in texts]
     memo: dict[str, int] = {}
-    docs = [np.array([memo.setdefault(w, len(memo)) for w in ws], dtype=np.int64) for ws in words]
+    docs = []
+    for t in texts:  # one text's words at a time, as the driver holds the whole sample
+        ws = t.lower().split()
+        docs.append(np.fromiter((memo.setdefault(w, len(memo)) for w in ws), dtype=np.int32, count=len(ws)))
     held = np.arange(len(docs)) % 5 == 4
     fit = np.flatnonzero(~held)
     # what the sample shows too rarely stays nothing, then and for texts to come
-    hashed, feats = np.unique(np.array([(0, 0, 0), *map(buckets_of, memo)], dtype=np.uint32), return_inverse=True)
-    feats = feats.reshape(-1, 3)[1:]
+    buckets = np.fromiter((b for w in memo for b in buckets_of(w)), dtype=np.uint32, count=3 * len(memo))
+    del memo
+    hashed, feats = np.unique(np.append(np.uint32(0), buckets), return_inverse=True)
+    feats = feats[1:].astype(np.int32).reshape(-1, 3)
     shown = np.zeros(len(hashed), dtype=np.int64)
     for i in fit:
         shown[np.unique(feats[docs[i]])] += 1
     keys = np.append(np.uint32(0), hashed[1:][shown[1:] >= options.least])
-    feats = rows_of(list(memo), keys)
+    at = np.minimum(np.searchsorted(keys, buckets), len(keys) - 1)
+    feats = np.where(keys[at] == buckets, at, 0).astype(np.int32).reshape(-1, 3)
+    del buckets, hashed
     names, language_table = _language_table(docs, feats[:, 0], langs, len(keys))
     d, f = options.dims, options.filters
     table = rng.normal(0, 0.05, (len(keys), d)).astype(np.float32)
