@@ -68,7 +68,7 @@ def hash_embed(text: Column | str, dimension: int) -> Column:
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         known = {t: hash_embedding(t, dimension) for t in texts.dropna().unique()}
-        return texts.map(known)
+        return pd.Series([known.get(t) for t in texts], dtype=object)
 
     return embed(F.col(text) if isinstance(text, str) else text)
 

@@ -96,7 +96,7 @@ def neighbors(graph: Graph, identifier: int, direction: str = BOTH, label: str |
     found = graph.edges.where(wanted)
     if label is not None:
         found = found.where(F.col("label") == label)
-    return found.orderBy(F.when(at[0], 0).otherwise(1) if direction != IN else F.lit(0), "id")
+    return found.orderBy("id") if direction == IN else found.orderBy(F.when(at[0], 0).otherwise(1), "id")
 
 
 def degrees(graph: Graph, direction: str = BOTH) -> DataFrame:

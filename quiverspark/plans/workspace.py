@@ -44,14 +44,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame, in bytes (file sizes for plain scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of what a frame's plan reads: file sizes for scans, nothing where the size is unknown.
+
+    Leaves are summed, as estimates above joins are products and say little.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """A partition count that follows the input's size, at least the session's."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / bytes_each))
+    return max(least, min(1 << 20, math.ceil(plan_bytes(df) / bytes_each)))
 
 
 def drop_table(df: DataFrame) -> None:
