@@ -130,14 +130,19 @@ class TokenIds:
         return out
 
 
-_PER_PROCESS: dict = {}
+_HELD: list = [None, None, None]
 
 
 def per_process(kind: str, version: str, make: Callable):
-    """One object of a kind per worker process, made anew for another version."""
-    if _PER_PROCESS.get(kind, (None,))[0] != version:
-        _PER_PROCESS[kind] = (version, make())
-    return _PER_PROCESS[kind][1]
+    """The object of a kind and version that a worker process holds.
+
+    A process holds one at a time: workers outlive stages, and what earlier stages have
+    remembered would add up over a pipeline.
+    """
+    if _HELD[:2] != [kind, version]:
+        _HELD[:] = [None, None, None]
+        _HELD[:] = [kind, version, make()]
+    return _HELD[2]
 
 
 def tokenizer(file: str) -> TokenIds:
