@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -18,8 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, for a session whose Arrow batches hold 2000 rows at most, unless it was told another number.
+
+    Spark's 10000 rows suit numbers; with whole texts they fill tens of megabytes outside
+    the heap for each batch in flight.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_ROWS, "10000") == "10000":
+        conf.set(BATCH_ROWS, "2000")
+    return docs
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, with null texts as empty ones; other columns are not read."""
+    text_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -141,6 +159,8 @@ def per_process(kind: str, version: str, make: Callable):
     """
     if _HELD[:2] != [kind, version]:
         _HELD[:] = [None, None, None]
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give what was held back to the system
         _HELD[:] = [kind, version, make()]
     return _HELD[2]
 

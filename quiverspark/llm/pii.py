@@ -269,7 +269,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([c if t is None else len(t) for c, t in zip(batch["n_chars"].to_pylist(), texts, strict=True)], type=columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(run, changed)
+    return common.text_batches(docs).mapInArrow(run, changed)
 
 
 def _written(spans: str) -> str:

@@ -252,7 +252,7 @@ def rule_abiding(docs: DataFrame, labels: DataFrame, options: Options = Options(
             fine &= shared.value.forest.score(np.array([s for _, s in both]).reshape(-1, len(SHARES))) <= shared.value.threshold
             yield batch.filter(pa.array(fine))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

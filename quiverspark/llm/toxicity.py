@@ -334,7 +334,7 @@ def with_scores(docs: DataFrame, model: Model, column: str, keep: list[str]) ->
             scores = pa.array(scorer.scores([t or "" for t in batch["text"].to_pylist()]), type=pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], scores], names=[*keep, column])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[k] for k in keep], T.StructField(column, T.DoubleType())]))
+    return common.text_batches(docs).mapInArrow(run, T.StructType([*[docs.schema[k] for k in keep], T.StructField(column, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
