@@ -266,3 +266,55 @@ def is_forest(part: Snapshot) -> bool:
 def element_degrees(graph: Graph, ids: DataFrame) -> DataFrame:
     """Degrees of some nodes."""
     return steps(graph, BOTH).join(ids.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def radial_forest(part: Snapshot, gap: float = 1.0) -> DataFrame:
+    """Nodes on circles by their depth below the busiest node of each component: id, depth, x, y.
+
+    Trees stand side by side by share of the circle; a node stands in the middle of its
+    leaves.  Works on a snapshot, on the driver.
+    """
+    import math
+
+    degree = dict(part.nodes.select("id", "degree").collect())
+    near: dict[int, list[int]] = {n: [] for n in degree}
+    for r in part.edges.orderBy("id").select("source", "target").collect():
+        if r["source"] != r["target"]:
+            near[r["source"]].append(r["target"])
+            near[r["target"]].append(r["source"])
+    depth: dict[int, int] = {}
+    children: dict[int, list[int]] = {}
+    order: list[int] = []
+    for root in sorted(degree, key=lambda n: (-degree[n], n)):
+        if root in depth:
+            continue
+        depth[root] = 0
+        layer = [root]
+        while layer:
+            order += layer
+            following = []
+            for n in layer:
+                fresh = [m for m in sorted(set(near[n])) if m not in depth]
+                children[n] = fresh
+                for m in fresh:
+                    depth[m] = depth[n] + 1
+                following += fresh
+            layer = following
+    leaves = {}
+    for n in reversed(order):
+        leaves[n] = sum(leaves[m] for m in children[n]) or 1
+    total, at, start = max(1, sum(leaves[n] for n in order if depth[n] == 0)), 0, {}
+    for n in order:
+        if depth[n] == 0:
+            start[n] = at
+            at += leaves[n]
+        inner = start[n]
+        for m in children[n]:
+            start[m] = inner
+            inner += leaves[m]
+    alone = sum(1 for n in order if depth[n] == 0) == 1
+    rows = []
+    for n in order:
+        angle, radius = 2 * math.pi * (start[n] + leaves[n] / 2) / total, gap * (depth[n] + (0 if alone else 1))
+        rows.append((n, depth[n], radius * math.cos(angle), radius * math.sin(angle)))
+    return part.nodes.sparkSession.createDataFrame(rows, "id bigint, depth int, x double, y double")
