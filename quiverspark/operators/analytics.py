@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiverspark.graph import Graph
 from quiverspark.operators import filters
 from quiverspark.operators.components import connected_components
-from quiverspark.plans.workspace import drop_table, write_table
+from quiverspark.plans.workspace import drop_table, partitions_for, write_bucketed, write_table
 
 UNREACHABLE = (1 << 63) - 1
 DAMPING, ITERATIONS = 0.85, 10
@@ -40,8 +40,8 @@ def wcc(graph: Graph) -> DataFrame:
 def pagerank(graph: Graph, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """(node, rank) after a fixed number of rounds; dangling mass is spread evenly, parallel edges count each.
 
-    Shares go along edges that were counted once per (source, target); each round shuffles
-    one row per such pair after a partial sum and writes the new ranks.
+    Shares go along edges that were counted once per (source, target) and are stored bucketed
+    by source, so a round shuffles the ranks and the partial sums by target, not the edges.
     """
     nodes = graph.nodes.select(F.col("id").alias("node"))
     n = graph.node_count
@@ -49,7 +49,8 @@ def pagerank(graph: Graph, damping: float = DAMPING, iterations: int = ITERATION
         return graph.spark.createDataFrame([], "node bigint, rank double")
     pairs = graph.edges.groupBy("source", "target").agg(F.count("*").alias("w"))
     out = graph.edges.groupBy("source").agg(F.count("*").alias("out"))
-    links = write_table(pairs.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")), "links")
+    shares = pairs.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share"))
+    links, table = write_bucketed(shares, "links", "source", partitions_for(graph.edges))
     ranks = write_table(nodes.join(out.withColumnRenamed("source", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(iterations):
         lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
@@ -59,6 +60,8 @@ def pagerank(graph: Graph, damping: float = DAMPING, iterations: int = ITERATION
         fresh = write_table(fresh, "ranks")
         drop_table(ranks)
         ranks = fresh
+    drop_table(links)
+    graph.spark.sql(f"DROP TABLE {table}")
     return ranks.select("node", "rank")
 
 

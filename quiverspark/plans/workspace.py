@@ -43,6 +43,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """Write ``df`` bucketed and sorted by a column, so that joins on it in later rounds shuffle the other side only.
+
+    Returns the frame and the name of its table, which the caller drops when done.
+    """
+    spark = df.sparkSession
+    table = f"quiverspark_{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column)
+    writer.option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table), table
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of what a frame's plan reads: file sizes for scans, nothing where the size is unknown.
 
