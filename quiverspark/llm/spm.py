@@ -15,6 +15,7 @@ a boundary that all paths share, so stretches between them are searched once per
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,7 +50,12 @@ class Pieces:
         self.unknown = model.unk_id()
         self.unknown_score = min(s for s, _ in self.score.values() if s > NO_CHOICE) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score))
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for piece, known in self.score.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = known
         self.by_stretch = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.memo: dict[str, bytes] = {}
 
@@ -103,21 +109,25 @@ class Pieces:
         """The same search for a short stretch, from each boundary forwards."""
         n = len(text)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        score, starts = self.score, self.starts
+        trie, unknown = self.trie, self.unknown_score
         for i in range(n):
-            here = best[i]
+            here, node, j = best[i], trie, i
             single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = text[i:j]
-                if piece not in starts:
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
                     break
-                known = score.get(piece)
+                j += 1
+                known = node.get(None)
                 if known is not None:
-                    single |= j == i + 1
-                    if here + known[0] > best[j]:
-                        best[j], back[j] = here + known[0], (i, known[1])
-            if not single and here + self.unknown_score > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown_score, (i, None)
+                    if j == i + 1:
+                        single = True
+                    value = here + known[0]
+                    if value > best[j]:
+                        best[j] = value
+                        back[j] = (i, known[1])
+            if not single and here + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + unknown, (i, None)
         steps, end = [], n
         while end:
             start, i = back[end]
@@ -137,12 +147,15 @@ class Pieces:
             return np.array([i for ids in self.stream([marked]) for i in ids], dtype="<u4").tobytes()
         stretches = self.STRETCHES.findall(marked)
         memo = self.memo
-        if len(memo) > common.MEMO_WORDS // 2:
-            memo.clear()
-        for s in set(stretches).difference(memo):
+        new = set(stretches).difference(memo)
+        for s in new:
             ids = self._stretch(s) if len(s) <= self.SHORT else [i for part in self.stream([s]) for i in part]
-            memo[s] = np.array(ids, dtype="<u4").tobytes()
-        return b"".join(map(memo.__getitem__, stretches))
+            memo[s] = array("I", ids).tobytes()
+        out = b"".join(map(memo.__getitem__, stretches))
+        if len(memo) > common.MEMO_WORDS:
+            for s in new:
+                del memo[s]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids from ``encode``; control pieces and ids outside the vocabulary are left out."""
