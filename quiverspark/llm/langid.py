@@ -28,7 +28,7 @@ from quiverspark.llm import common
 from quiverspark.llm.toxicity import letters
 
 SEGMENT = 128
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 UNKNOWN = "und"
 
 
@@ -135,9 +135,6 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
-        self.forget()
-
-    def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.vectors = np.zeros((1 << 12, len(self.model.languages)))
         self.lettered = np.zeros(1 << 12, dtype=bool)
@@ -161,14 +158,16 @@ class Labeller:
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities, whether words have letters, and words per text."""
         words = [t.lower().split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.forget()
         new = set().union(*words).difference(self.memo)
         if new:
             self._learn(sorted(new))
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         index = np.fromiter((i for w in words for i in map(self.memo.__getitem__, w)), dtype=np.int64, count=int(lengths.sum()))
-        return marginals(self.vectors[index], lengths, self.model.transitions), self.lettered[index], lengths
+        vectors, lettered = self.vectors[index], self.lettered[index]
+        if len(self.memo) > MEMO_WORDS:  # keep the words that came first: among them are the frequent ones
+            for w in new:
+                del self.memo[w]
+        return marginals(vectors, lengths, self.model.transitions), lettered, lengths
 
     def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""

@@ -30,7 +30,7 @@ from quiverspark.llm import common
 
 WIDTHS = (1, 2, 3)
 WORDS_AT_ONCE = 1 << 16
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000
 GAP_SHARE = 0.35
 
 
@@ -104,9 +104,6 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.rows = model, model.projection()
-        self.forget()
-
-    def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.vectors = np.zeros((1 << 12, self.rows.shape[1]), dtype=np.float32)
 
@@ -121,12 +118,16 @@ class Scorer:
             self.vectors[at : at + len(new), -languages:] = self.rows[b[:, 0], -languages:]
         self.memo.update(zip(new, range(at, at + len(new)), strict=True))
 
+    def _trim(self, new: set[str]) -> None:
+        """Once full, keep the words that came first: among them are the frequent ones."""
+        if len(self.memo) > MEMO_WORDS:
+            for w in new:
+                del self.memo[w]
+
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language index of each text."""
         model, n_filters, languages = self.model, self.model.options.filters, len(self.model.languages)
         words = [t.lower().split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.forget()
         new = set().union(*words).difference(self.memo)
         if new:
             self._learn(sorted(new))
@@ -157,6 +158,7 @@ class Scorer:
                 column += width * n_filters
             if languages:
                 tongue[docs[starts]] += np.add.reduceat(x[: hi - lo, -languages:], starts, axis=0)
+        self._trim(new)
         pooled = np.maximum(best + model.bias, 0)
         return pooled @ model.dense + model.offset, tongue.argmax(axis=1)
 
