@@ -84,17 +84,17 @@ def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return all_nodes, all_edges, vectors
 
 
-_LOADED: dict[tuple[str, str], Graph] = {}
+_LOADED: dict[tuple[str, str], store.Store] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The fixture as a stored graph, bulk-loaded once per session and directory."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LOADED:
+    if key not in _LOADED or not store.exists(spark, f"{_LOADED[key].path}/meta/_SUCCESS"):
         path = new_path(spark, "fixture")
         store.bulk_load(spark, path, *frames(spark, sf_dir), dimension=64)
-        _LOADED[key] = store.open_graph(spark, path).graph
-    return _LOADED[key]
+        _LOADED[key] = store.open_graph(spark, path)
+    return _LOADED[key].graph
 
 
 #: The same graph in SQL over the raw tables, to hold results against.
