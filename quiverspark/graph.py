@@ -20,8 +20,9 @@ class Graph:
     """A labelled property multigraph in which nodes and edges own any number of vectors.
 
     ``nodes``, ``edges`` and ``vectors`` follow the schemas of ``quiverspark.model``.
-    ``adjacency`` and ``sketch`` are derived where they are not given; a stored graph
-    brings them along, bucketed by node.
+    ``adjacency``, ``sketch`` and ``props`` are derived where they are not given; a stored
+    graph brings them along, the adjacency bucketed by node, the properties flat and sorted
+    by key and value.
     """
 
     nodes: DataFrame
@@ -31,6 +32,7 @@ class Graph:
     similarity: str = COSINE
     adjacency_table: DataFrame | None = None
     sketch_table: DataFrame | None = None
+    props_table: DataFrame | None = None
     transactions: int = 0
     counts: dict[str, Any] = field(default_factory=dict)
 
@@ -49,6 +51,11 @@ class Graph:
 
         return self.sketch_table if self.sketch_table is not None else sketch.sketch_of(self.vectors, self.dimension)
 
+    @cached_property
+    def props(self) -> DataFrame:
+        """One row for each element and key: kind, id, label, key and the value's fields."""
+        return self.props_table if self.props_table is not None else props_of(self.elements)
+
     @cached_property
     def elements(self) -> DataFrame:
         """kind, id, label and props of nodes and edges."""
@@ -81,6 +88,11 @@ class Graph:
         return sum(self.count("edges").values())
 
 
+def props_of(elements: DataFrame) -> DataFrame:
+    each = elements.select("kind", "id", "label", F.explode("props").alias("key", "value"))
+    return each.select("kind", "id", "label", "key", "value.tag", "value.i", "value.f", "value.s", "value.x")
+
+
 def adjacency_of(edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("source").alias("node"), F.lit(0).cast("tinyint").alias("direction"), F.col("target").alias("neighbor"), F.col("id").alias("edge"), "label")
     back = edges.select(F.col("target").alias("node"), F.lit(1).cast("tinyint").alias("direction"), F.col("source").alias("neighbor"), F.col("id").alias("edge"), "label")

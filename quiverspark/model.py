@@ -20,6 +20,7 @@ PROPS_DDL = f"map<string, {VALUE_DDL}>"
 NODES_DDL = f"id bigint, label string, props {PROPS_DDL}, generation bigint"
 EDGES_DDL = f"id bigint, source bigint, target bigint, label string, props {PROPS_DDL}, generation bigint"
 VECTORS_DDL = "kind tinyint, id bigint, facet int, label string, vec array<float>"
+PROPS_TABLE_DDL = "kind tinyint, id bigint, label string, key string, tag tinyint, i bigint, f double, s string, x binary"
 ADJACENCY_DDL = "node bigint, direction tinyint, neighbor bigint, edge bigint, label string"
 OUT, IN, BOTH = "out", "in", "both"
 
@@ -113,7 +114,10 @@ def props_column(**values: Column) -> Column:
 
 
 def equals(value: Column, wanted: Any) -> Column:
-    """Whether a stored value equals ``wanted``: types never mix, NaN matches nothing, a missing key matches nothing."""
+    """Whether a stored value equals ``wanted``: types never mix, NaN matches nothing; null for a missing key.
+
+    A plain conjunction, so that a filter on the flat table of properties reaches the files.
+    """
     tag, payload = typed(wanted)
     same = value["tag"] == tag
     if tag in (INT, NODE_REF, EDGE_REF):
@@ -124,7 +128,7 @@ def equals(value: Column, wanted: Any) -> Column:
         same &= value["s"] == F.lit(payload)
     elif tag == BYTES:
         same &= value["x"] == F.lit(payload)
-    return F.coalesce(same, F.lit(False))
+    return same
 
 
 def label_text(value: Column) -> Column:

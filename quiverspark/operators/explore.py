@@ -33,8 +33,8 @@ def lexical_search(graph: Graph, words: str, limit: int, target: tuple[int, ...]
     weight = F.when(F.col("key").isin(TITLE_KEYS), TITLE_WEIGHT).when(F.col("key").isin(BODY_KEYS), BODY_WEIGHT).otherwise(OTHER_WEIGHT)
     elements = graph.elements_of(target)
     label = elements.select("kind", "id", score_text(ascii_lower(F.col("label")), phrase, terms, LABEL_WEIGHT).alias("score"))
-    props = elements.select("kind", "id", F.explode("props").alias("key", "value"))
-    text = ascii_lower(label_text(F.col("value")))
+    props = graph.props if target == BOTH_KINDS else graph.props.where(F.col("kind") == target[0])
+    text = ascii_lower(label_text(F.struct("tag", "i", "f", "s", "x")))
     found = props.select("kind", "id", score_text(text, phrase, terms, weight).alias("score"))
     both = label.where("score > 0").unionByName(found.where("score > 0"))
     total = both.groupBy("kind", "id").agg(F.round(F.sum("score"), DIGITS).alias("score"))

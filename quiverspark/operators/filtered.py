@@ -25,8 +25,9 @@ class FilteredResult:
 def vector_search_filtered(graph: Graph, query: Sequence[float], k: int, equality: filters.ElementFilter | None = None, ranges: Sequence[filters.Range] = (), target: tuple[int, ...] = BOTH_KINDS) -> FilteredResult:
     """Search among the elements that satisfy every predicate.
 
-    All predicates become one condition over one scan (Catalyst pushes it to the files), and
-    the vector plan is made from the count of what is left, as that is not known before.
+    Each predicate is a scan of one key of the flat property table, which Parquet prunes by
+    its statistics; the sets are intersected, and the vector plan is made from the count of
+    what is left, as that is not known before.
     """
     equality_plan = filters.element_filter_plan(graph, equality, target) if equality is not None else None
     range_plans = tuple(filters.numeric_range_plan(graph, r, target) for r in ranges)
@@ -34,12 +35,7 @@ def vector_search_filtered(graph: Graph, query: Sequence[float], k: int, equalit
         hits, plan = sketch.vector_search_adaptive(graph, query, k, target)
         total = sum(n for kind, n in ((0, graph.node_count), (1, graph.edge_count)) if kind in target)
         return FilteredResult(hits, total, None, (), plan)
-    found = graph.elements_of(target)
-    if equality is not None:
-        found = found.where(equality.condition())
-    for r in ranges:
-        found = found.where(r.condition())
-    found = found.select("kind", "id")
+    found = filters.elements_satisfying(graph, equality, ranges, target)
     nodes, edges = filters.sizes(found)
     hits, plan = sketch.vector_search_within_adaptive(graph, query, found, k)
     return FilteredResult(hits, nodes + edges, equality_plan, range_plans, plan)

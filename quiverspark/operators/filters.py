@@ -6,6 +6,7 @@ A set is a frame of (kind, id) without repeats.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -116,11 +117,39 @@ class ElementFilter:
     properties: tuple[tuple[str, Any], ...] = ()
 
     def condition(self) -> Column:
+        """Over elements with their property maps."""
         wanted = F.lit(True) if self.label is None else F.col("label") == self.label
         for key, value in self.properties:
             wanted &= model.equals(F.col("props")[key], value)
         return wanted
 
+    def sets(self, graph: Graph, target: tuple[int, ...]) -> list[DataFrame]:
+        """A set for each property, or one for the label alone; each a scan of the flat table."""
+        if not self.properties:
+            found = graph.elements_of(target)
+            return [(found if self.label is None else found.where(F.col("label") == self.label)).select("kind", "id")]
+        return [_flat(graph, target, self.label, key).where(model.equals(_value(), value)).select("kind", "id") for key, value in self.properties]
+
+
+def _value() -> Column:
+    """The value of a row of the flat table of properties."""
+    return F.struct("tag", "i", "f", "s", "x")
+
+
+def _flat(graph: Graph, target: tuple[int, ...], label: str | None, key: str) -> DataFrame:
+    """Rows of one key: simple comparisons only, which Parquet's statistics can answer."""
+    found = graph.props.where(F.col("key") == key)
+    if target != BOTH_KINDS:
+        found = found.where(F.col("kind") == target[0])
+    return found if label is None else found.where(F.col("label") == label)
+
+
+def _all_of(sets: list[DataFrame]) -> DataFrame:
+    out = sets[0]
+    for s in sets[1:]:
+        out = intersection(out, s)
+    return out
+
 
 @dataclass(frozen=True)
 class Range:
@@ -144,8 +173,9 @@ class Range:
             raise InvalidArgument("range bounds must be of one type")
         object.__setattr__(self, "tag", FLOAT if isinstance(bounds[0], float) else INT)
 
-    def condition(self) -> Column:
-        value = F.col("props")[self.key]
+    def condition(self, value: Column | None = None) -> Column:
+        """Over elements with their property maps, or over given values."""
+        value = F.col("props")[self.key] if value is None else value
         number = value["f"] if self.tag == FLOAT else value["i"]
         wanted = value["tag"] == self.tag
         if self.tag == FLOAT:
@@ -156,7 +186,7 @@ class Range:
             wanted &= number <= F.lit(self.upper) if self.upper_inclusive else number < F.lit(self.upper)
         if self.label is not None:
             wanted &= F.col("label") == self.label
-        return F.coalesce(wanted, F.lit(False))
+        return wanted
 
 
 def elements_with_label(graph: Graph, label: str, target: tuple[int, ...] = BOTH_KINDS) -> DataFrame:
@@ -165,20 +195,27 @@ def elements_with_label(graph: Graph, label: str, target: tuple[int, ...] = BOTH
 
 def elements_matching(graph: Graph, wanted: ElementFilter, target: tuple[int, ...] = BOTH_KINDS) -> DataFrame:
     """Elements with the label and all property values."""
-    return graph.elements_of(target).where(wanted.condition()).select("kind", "id")
+    return _all_of(wanted.sets(graph, target))
 
 
 def elements_in_range(graph: Graph, wanted: Range, target: tuple[int, ...] = BOTH_KINDS) -> DataFrame:
     """Elements whose value has the range's own type and lies in it."""
-    return graph.elements_of(target).where(wanted.condition()).select("kind", "id")
+    return _flat(graph, target, wanted.label, wanted.key).where(wanted.condition(_value())).select("kind", "id")
+
+
+def elements_satisfying(graph: Graph, equality: ElementFilter | None, ranges: Sequence[Range], target: tuple[int, ...] = BOTH_KINDS) -> DataFrame:
+    """Elements that pass an equality filter and all ranges."""
+    sets = [elements_in_range(graph, r, target) for r in ranges]
+    return _all_of(([] if equality is None else equality.sets(graph, target)) + sets)
 
 
 def predicate_counts(graph: Graph, wanted: ElementFilter, target: tuple[int, ...]) -> list[int]:
     """How many elements satisfy each property predicate alone, in one pass."""
     if not wanted.properties:
         return []
-    each = [F.count_if(model.equals(F.col("props")[k], v)).alias(f"p{i}") for i, (k, v) in enumerate(wanted.properties)]
-    return list(graph.elements_of(target).agg(*each).first())
+    each = [F.count_if((F.col("key") == k) & model.equals(_value(), v)).alias(f"p{i}") for i, (k, v) in enumerate(wanted.properties)]
+    found = graph.props.where(F.col("key").isin([k for k, _ in wanted.properties]))
+    return list((found if target == BOTH_KINDS else found.where(F.col("kind") == target[0])).agg(*each).first())
 
 
 def element_filter_plan(graph: Graph, wanted: ElementFilter, target: tuple[int, ...] = BOTH_KINDS) -> planner.FilterPlan:

@@ -3,12 +3,13 @@
 Layout of a graph's folder::
 
     meta/                one row: dimension, similarity, last transaction in the base, buckets
-    base/nodes, base/edges, base/vectors, base/sketch, base/adjacency
+    base/nodes, base/edges, base/vectors, base/sketch, base/adjacency, base/props
     log/txn=N/           the changes of one transaction, written once and never changed
 
 A transaction is visible when its folder's commit marker is there, which Spark writes last;
 a folder without one is a torn write and is ignored.  The adjacency is bucketed and sorted
-by node, so a frontier join shuffles the frontier only.  One writer at a time is assumed: a
+by node, so a frontier join shuffles the frontier only; properties are also stored flat, in
+ranges of key and value, so a predicate reads few row groups.  One writer at a time is assumed: a
 second one that takes the same transaction number fails, as folders are never overwritten.
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiverspark import model
-from quiverspark.graph import COSINE, DOT, Graph, adjacency_of
+from quiverspark.graph import COSINE, DOT, Graph, adjacency_of, props_of
 from quiverspark.model import EDGE, NODE, PROPS_DDL, Conflict, Corrupt, InvalidArgument, NotFound
 from quiverspark.operators import sketch, vectors
+from quiverspark.plans.workspace import partitions_for
 
 META_DDL = "dimension int, similarity string, transactions bigint, buckets int"
 LOG_DDL = f"txn bigint, op_order tinyint, op string, kind tinyint, id bigint, source bigint, target bigint, label string, props {PROPS_DDL}, vecs array<array<float>>"
@@ -60,6 +62,9 @@ def bulk_load(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame
         nodes.select("id", "label", "props", "generation").write.parquet(f"{path}/base/nodes")
         edges.select("id", "source", "target", "label", "props", "generation").write.parquet(f"{path}/base/edges")
         stored_edges = spark.read.schema(model.EDGES_DDL).parquet(f"{path}/base/edges")
+        elements = Graph(spark.read.schema(model.NODES_DDL).parquet(f"{path}/base/nodes"), stored_edges, vecs, dimension).elements
+        order = ["key", "tag", "f", "i", "s"]
+        props_of(elements).repartitionByRange(partitions_for(elements), *order).sortWithinPartitions(*order).write.parquet(f"{path}/base/props")
         adjacency = adjacency_of(stored_edges)
         table = f"quiverspark_{uuid.uuid4().hex}"
         adjacency.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").option("path", f"{path}/base/adjacency").saveAsTable(table)
@@ -123,7 +128,9 @@ def fold(base: Graph, log: DataFrame) -> Graph:
     kept = base.vectors.join(touched, ["kind", "id"], "left_anti")
     fresh_vectors = vectors.normalised(logged, base.similarity)
     sketches = base.sketch.join(touched, ["kind", "id"], "left_anti").unionByName(sketch.sketch_of(fresh_vectors, base.dimension))
-    return Graph(nodes, edges, kept.unionByName(fresh_vectors), base.dimension, base.similarity, sketch_table=sketches)
+    logged_elements = folded.select("kind", "id", "label", "props")
+    props = base.props.join(touched, ["kind", "id"], "left_anti").unionByName(props_of(logged_elements))
+    return Graph(nodes, edges, kept.unionByName(fresh_vectors), base.dimension, base.similarity, sketch_table=sketches, props_table=props)
 
 
 @dataclass
@@ -167,7 +174,7 @@ def open_graph(spark: SparkSession, path: str, read_only: bool = False) -> Store
         raise Corrupt(f"{path} holds no complete graph")
     meta = spark.read.schema(META_DDL).parquet(f"{path}/meta").first()
     read = lambda name, ddl: spark.read.schema(ddl).parquet(f"{path}/base/{name}")
-    base = Graph(read("nodes", model.NODES_DDL), read("edges", model.EDGES_DDL), read("vectors", model.VECTORS_DDL), meta["dimension"], meta["similarity"], _bucketed(spark, f"{path}/base/adjacency", meta["buckets"]), read("sketch", sketch.SKETCH_DDL), meta["transactions"])
+    base = Graph(read("nodes", model.NODES_DDL), read("edges", model.EDGES_DDL), read("vectors", model.VECTORS_DDL), meta["dimension"], meta["similarity"], _bucketed(spark, f"{path}/base/adjacency", meta["buckets"]), read("sketch", sketch.SKETCH_DDL), read("props", model.PROPS_TABLE_DDL), meta["transactions"])
     numbers = [n for n in committed(spark, path) if n > meta["transactions"]]
     if not numbers:
         return Store(spark, path, base, meta["transactions"], read_only)

@@ -137,6 +137,22 @@ def test_stored_adjacency_is_not_shuffled(spark, tmp_path):
     assert rows(traverse.expand(g, filters.element_set(g, [1])).where("kind = 1")) == [(1, r) for r in sorted({i for i in range(200) if i % 50 == 1 or i * 7 % 50 == 1})]
 
 
+def test_predicates_reach_the_files(spark, tmp_path):
+    s = store.create(spark, f"{tmp_path}/g", 4)
+    t = s.transaction()
+    for k in range(5):
+        t.create_node("N", {"k": k, "w": float(k)})
+    t.commit()
+    g = store.compact_to(s, f"{tmp_path}/h").graph
+    for found in (filters.elements_in_range(g, filters.Range("k", 2)), filters.elements_matching(g, ElementFilter("N", (("k", 2),)))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters") :]
+        assert "EqualTo(key,k)" in pushed and "EqualTo(tag,3)" in pushed and "IsNotNull(i)" in pushed and "map<" not in plan
+    assert filters.elements_in_range(g, filters.Range("k", 2)).count() == 3
+    both = filters.elements_satisfying(g, ElementFilter("N"), [filters.Range("k", 1), filters.Range("w", None, 2.0)])
+    assert {r["id"] for r in both.collect()} == {1, 2}
+
+
 def write_jsonl(path, records):
     path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records) + "\n")
     return str(path)
