@@ -75,8 +75,8 @@ def number_sequences(pieces: DataFrame) -> DataFrame:
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = counts.withColumn("in_bucket", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     sizes = counts.groupBy("length").agg(F.sum("n").alias("bucket_n"))
-    smaller = sizes.alias("a").join(sizes.select(F.col("length").alias("l"), F.col("bucket_n").alias("m")), F.col("l") < F.col("a.length"), "left")
-    bases = smaller.groupBy("a.length").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("base"))
+    shorter = Window.partitionBy(F.lit(0)).orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # over one row a length
+    bases = sizes.select("length", F.coalesce(F.sum("bucket_n").over(shorter), F.lit(0)).alias("base"))
     first = before.join(F.broadcast(bases), "length").select("length", "task", (F.col("base") + F.coalesce("in_bucket", F.lit(0))).alias("first"))
     return pieces.join(first, ["length", "task"]).withColumn("sequence_id", F.col("first") + F.col("rank")).withColumn("offset", F.lit(0).cast("long")).drop("first", "task", "rank")
 
