@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,29 +70,46 @@ def _columns(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, ...]:
     return batch["kind"].to_numpy(), batch["id"].to_numpy(), batch["facet"].to_numpy(), x
 
 
-def _top(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def _top(query: np.ndarray, kind: np.ndarray, ident: np.ndarray, facet: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k greatest elements of every query by (score, kind, id), an element once."""
-    rows = rows.sort_values(["query", "score", "facet"], ascending=[True, False, True]).drop_duplicates(["query", "kind", "id"])
-    return rows.sort_values(["query", "score", "kind", "id"], ascending=[True, False, False, False]).groupby("query", sort=False).head(k)
+    rows = (query, kind, ident, facet, score)
+    order = np.lexsort((facet, -score, ident, kind, query))
+    query, kind, ident, facet, score = (c[order] for c in rows)
+    new = np.r_[True, (query[1:] != query[:-1]) | (kind[1:] != kind[:-1]) | (ident[1:] != ident[:-1])]
+    rows = tuple(c[new] for c in (query, kind, ident, facet, score))
+    order = np.lexsort((-rows[2], -rows[1].astype(np.int64), -rows[4], rows[0]))
+    query = rows[0][order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return tuple(c[order][place < k] for c in rows)
 
 
 def scored(vectors: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
-    """Per task and query the k greatest elements: query, kind, id, facet, score."""
+    """Per task and query the k greatest elements: query, kind, id, facet, score.
+
+    A batch's elements below the k-th score of what a query has so far are passed over
+    before anything is sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pd.DataFrame | None = None
+        kept: tuple[np.ndarray, ...] | None = None
+        floor = np.full(len(queries), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
             kind, ident, facet, x = _columns(batch, queries.shape[1])
             kind, ident, facet, best = _best_elements(kind, ident, facet, np.round(queries @ x.T, DIGITS))
-            found = []
-            for q in range(len(queries)):
-                top = np.lexsort((ident, kind, best[q]))[-k:]
-                found.append(pd.DataFrame({"query": np.int32(q), "kind": kind[top], "id": ident[top], "facet": facet[q][top], "score": best[q][top]}))
-            kept = _top(pd.concat(found if kept is None else [kept, *found]), k)
-        if kept is not None and len(kept):
-            yield pa.RecordBatch.from_pandas(kept, schema=_HITS, preserve_index=False)
+            bar = floor if best.shape[1] <= k else np.maximum(floor, np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k])
+            q, at = np.nonzero(best >= bar[:, None])
+            found = (q.astype(np.int32), kind[at], ident[at], facet[q, at], best[q, at])
+            if kept is not None:
+                found = tuple(np.concatenate(pair) for pair in zip(kept, found, strict=True))
+            kept = _top(*found, k)
+            full = np.bincount(kept[0], minlength=len(queries)) == k
+            lowest = np.full(len(queries), np.inf)
+            np.minimum.at(lowest, kept[0], kept[4])
+            floor = np.where(full, lowest, -np.inf)
+        if kept is not None and len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(kept, _HITS, strict=True)], schema=_HITS)
 
     return vectors.select("kind", "id", "facet", "vec").mapInArrow(run, HITS_DDL)
 
