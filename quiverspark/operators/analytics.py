@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiverspark.graph import Graph
 from quiverspark.operators import filters
 from quiverspark.operators.components import connected_components
-from quiverspark.plans.workspace import drop_table, partitions_for, write_bucketed, write_table
+from quiverspark.plans.workspace import drop_table, partitions_for, write_bucketed, write_counted, write_table
 
 UNREACHABLE = (1 << 63) - 1
 DAMPING, ITERATIONS = 0.85, 10
@@ -23,8 +23,8 @@ def bfs(graph: Graph, source: int, max_depth: int | None = None) -> DataFrame:
     while max_depth is None or depth < max_depth:
         depth += 1
         fresh = out.join(layers[-1].select("node"), "node", "left_semi").select(F.col("neighbor").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        fresh = write_table(fresh.withColumn("distance", F.lit(depth).cast("bigint")), "layer")
-        if fresh.isEmpty():
+        fresh, n = write_counted(fresh.withColumn("distance", F.lit(depth).cast("bigint")), "layer")
+        if not n:
             break
         layers.append(fresh)
         seen = seen.unionByName(fresh)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverspark.plans.workspace import drop_table, write_table
+from quiverspark.plans.workspace import drop_table, write_observed
 
 MAX_ROUNDS = 100
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1] or 0
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a working table, with a signature that tells whether a round changed them."""
+    table, seen = write_observed(edges, "components", n=F.count(F.lit(1)), mark=F.bit_xor(F.xxhash64("u", "v")))
+    return table, (seen["n"], seen["mark"] or 0)
 
 
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -27,16 +28,14 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     """
     a, b = F.col(source).cast("long"), F.col(target).cast("long")
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    current = write_table(pairs, "components")
-    before = _signature(current)
+    current, before = _written(pairs)
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = write_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        after = _signature(following)
+        following, after = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         drop_table(current)
         current = following
         if after == before:

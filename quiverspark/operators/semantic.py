@@ -22,7 +22,7 @@ from quiverspark.graph import Graph
 from quiverspark.model import BOTH, EDGE, NODE, NODES, InvalidArgument
 from quiverspark.operators import filters, sketch, traverse, vectors
 from quiverspark.operators.filters import steps
-from quiverspark.plans.workspace import write_table
+from quiverspark.plans.workspace import write_counted, write_table
 
 
 @dataclass(frozen=True)
@@ -116,8 +116,7 @@ def semantic_paths(graph: Graph, query, options: SemanticPathOptions = SemanticP
     degree = steps(graph, BOTH).join(near.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree")).withColumnRenamed("node", "neighbor")
     scored = walk.join(element_scores(EDGE, walk.select(F.col("edge").alias("id")), "edge"), "edge")
     scored = scored.join(element_scores(NODE, near, "neighbor"), "neighbor").join(degree, "neighbor")
-    moves = write_table(scored.select(F.lit(0).alias("query"), "node", "neighbor", "edge", "neighbor_score", "edge_score", "degree"), "moves")
-    n = moves.count()
+    moves, n = write_counted(scored.select(F.lit(0).alias("query"), "node", "neighbor", "edge", "neighbor_score", "edge_score", "degree"), "moves")
     if n > options.gathered_edges:
         raise InvalidArgument(f"{n} steps lie within {options.max_hops} hops; lower the hops or seeds, or raise gathered_edges")
 

@@ -18,7 +18,7 @@ from quiverspark.model import BOTH, EDGE, IN, NODE, OUT
 from quiverspark.operators import filters, sketch
 from quiverspark.operators.filters import ElementFilter, steps
 from quiverspark.plans import planner
-from quiverspark.plans.workspace import write_table
+from quiverspark.plans.workspace import write_counted, write_table
 
 
 def _ids(nodes: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def _layers(graph: Graph, seeds: DataFrame, hops: int, direction: str, label: st
         if edges:
             met = write_table(met.select("neighbor", "edge"), "met")
             met_edges.append(met.select("edge"))
-        fresh = write_table(met.select(F.col("neighbor").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
-        if fresh.isEmpty():
+        fresh, n = write_counted(met.select(F.col("neighbor").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
+        if not n:
             break
         nodes.append(fresh)
         seen = seen.unionByName(fresh)
@@ -100,9 +100,9 @@ class GraphRangeResult:
 
 def vector_search_graph_range(graph: Graph, query, seeds: DataFrame, k: int = 10, hops: int = 2, direction: str = BOTH, label: str | None = None, include_seeds: bool = True, wanted: ElementFilter | None = None) -> GraphRangeResult:
     """Vector search among the nodes around some seeds."""
-    near = write_table(nodes_within_hops(graph, seeds, hops, direction, label, include_seeds, wanted), "range")
+    near, n = write_counted(nodes_within_hops(graph, seeds, hops, direction, label, include_seeds, wanted), "range")
     hits, plan = sketch.vector_search_within_adaptive(graph, query, near, k)
-    return GraphRangeResult(hits, near.count(), plan)
+    return GraphRangeResult(hits, n, plan)
 
 
 # --- shortest path -----------------------------------------------------------------------
@@ -147,15 +147,14 @@ class _Side:
         whole = self.size <= allowed
         ids = self.frontier.select("id") if whole else self.frontier.select("id").orderBy("id").limit(allowed)
         met = self.walk.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "neighbor", "edge")
-        met = write_table(met, "met")
-        examined = met.count()
+        met, examined = write_counted(met, "met")
         first = met.groupBy(F.col("neighbor").alias("id")).agg(F.min(F.struct("node", "edge")).alias("by"))
         fresh = first.join(self.reached.select("id"), "id", "left_anti").select("id", F.lit(self.depth + 1).alias("depth"), F.col("by.node").alias("parent"), F.col("by.edge").alias("edge"))
-        fresh = write_table(fresh, "side")
+        fresh, size = write_counted(fresh, "side")
         self.expanded += self.size if whole else allowed
         self.reached = self.reached.unionByName(fresh)
         self.layers.append(fresh)
-        self.frontier, self.size = fresh, fresh.count()
+        self.frontier, self.size = fresh, size
         self.depth += whole
         return examined, whole
 

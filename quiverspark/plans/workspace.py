@@ -11,7 +11,8 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
@@ -43,6 +44,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``write_table``, and aggregates of the rows that were taken while they were written."""
+    seen = Observation()
+    observed = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
+    return write_table(observed, name), seen.get
+
+
+def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``write_table``, and how many rows were written, without reading them again."""
+    table, seen = write_observed(df, name, n=F.count(F.lit(1)))
+    return table, seen["n"]
+
+
 def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
     """Write ``df`` bucketed and sorted by a column, so that joins on it in later rounds shuffle the other side only.
 
