@@ -508,9 +508,9 @@ def q05(g):
 @registered("g01_bfs", f""", reach(node, distance) USING KEY (node) AS (
   SELECT CAST({CUSTOMER_1} AS BIGINT), CAST(0 AS BIGINT)
   UNION SELECT w.neighbor, r.distance + 1 FROM reach r JOIN walk w ON w.node = r.node AND w.direction = 0 LEFT JOIN recurring.reach k ON k.node = w.neighbor WHERE k.node IS NULL)
-SELECT n.id AS node, distance FROM nodes n LEFT JOIN reach ON reach.node = n.id""")
+SELECT n.id AS node, coalesce(distance, {analytics.UNREACHABLE}) AS distance FROM nodes n LEFT JOIN reach ON reach.node = n.id""")
 def g01(g):
-    return analytics.bfs(g, CUSTOMER_1)
+    return analytics.with_sentinel(analytics.bfs(g, CUSTOMER_1))
 
 
 @registered("g02_wcc", """, c0 AS (SELECT id AS node, id AS c FROM nodes),

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quiverspark import queries as registry
@@ -23,10 +24,10 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value if not hasattr(value, "__len__") else False:
-        return None
     if hasattr(value, "__len__") and not isinstance(value, str):
         return [plain(v) for v in value]
+    if value is None or value is pd.NA or value != value:
+        return None
     return value.item() if hasattr(value, "item") else value
 
 
