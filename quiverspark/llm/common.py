@@ -81,7 +81,7 @@ class TokenIds:
     ODD_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
     JOINED = 64
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -94,6 +94,7 @@ class TokenIds:
         mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
         self.memo: dict[str, bytes] = {}
+        self.memo_words = memo_words
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -142,7 +143,7 @@ class TokenIds:
         whole = iter(self._whole([t for t, c in zip(texts, split, strict=True) if c is None]))
         skip = 0 if self.drops_space else 4  # the line feed that was put before the text
         out = [next(whole) if c is None else b"".join(map(memo.__getitem__, c))[skip:] for c in split]
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > self.memo_words:
             for c in new:
                 del memo[c]
         return out
@@ -165,5 +166,5 @@ def per_process(kind: str, version: str, make: Callable):
     return _HELD[2]
 
 
-def tokenizer(file: str) -> TokenIds:
-    return per_process("ids", file, lambda: TokenIds(file))
+def tokenizer(file: str, memo_words: int = MEMO_WORDS) -> TokenIds:
+    return per_process("ids", file, lambda: TokenIds(file, memo_words))

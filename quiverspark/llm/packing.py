@@ -25,6 +25,7 @@ from quiverspark.plans.workspace import write_table
 
 MAX_TOKENS = 2048
 END_ID = 1
+MEMO_WORDS = 600_000
 TOKENIZER = "byte_bpe_50k.json"
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int64()), ("rank", pa.int64()), ("ids", pa.binary())])
@@ -50,7 +51,7 @@ def decompose(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TO
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, ranks = common.tokenizer(tokenizer), TaskContext.get().partitionId(), {}
+        ids_of, task, ranks = common.tokenizer(tokenizer, MEMO_WORDS), TaskContext.get().partitionId(), {}
         for batch in common.narrow_batches(batches, 500):
             rows: list[tuple] = []
             for doc_id, data in zip(batch["doc_id"].to_pylist(), ids_of.encode(batch["text"].to_pylist()), strict=True):

@@ -22,15 +22,15 @@ def library(file):
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_chunked_encoding_is_the_librarys(file, monkeypatch):
+def test_chunked_encoding_is_the_librarys(file):
     rng, truth = random.Random(1), library(file)
     alphabet = "  \n\t.,'ab%é1\x1c　¶^ΣIİ́sre!<|endoftext|>​"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)]
     texts += ["".join(rng.choices(" \nab.'s^¶", k=rng.randint(0, 12))) for _ in range(3000)] + [LONG, "<|endoftext|> a", prose(rng, 500)]
     ids = common.TokenIds(file)
     assert ids.encode(texts) == [truth(t).tobytes() for t in texts]
-    monkeypatch.setattr(common, "MEMO_WORDS", 10)
-    assert ids.encode(texts[:500]) == [truth(t).tobytes() for t in texts[:500]] and len(ids.memo) > 0
+    ids.memo_words = 10
+    assert ids.encode(texts[:500]) == [truth(t).tobytes() for t in texts[:500]] and len(ids.memo) > 0  # a full memo
 
 
 def test_token_store(spark):
