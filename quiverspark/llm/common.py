@@ -136,7 +136,7 @@ class TokenIds:
         for chunks in split:
             if chunks:
                 new.update(chunks)
-        new.difference_update(self.memo)
+        new = new.difference(self.memo)  # not difference_update, which would walk through the whole memo
         if new:
             self._learn(list(new))
         memo = self.memo
