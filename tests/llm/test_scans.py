@@ -189,6 +189,17 @@ def test_pipeline(spark):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_the_pipeline_joins_near_duplicates_from_80(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a changed word takes the 5 around it
+    texts = {1: words, 2: [*words[:50], "x", *words[51:95], "y", *words[96:]], 3: [*words[:30], "x", *words[31:60], "y", *words[61:80], "z", *words[81:]]}
+    docs = frame(spark, [(i, " ".join(w), "en") for i, w in texts.items()])
+    # 1 and 2 share 90 of 110 shingles, 3 shares fewer than 0.8 with either
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+    assert {r["doc_id"] for r in near_dup.near_duplicates(docs).where("kept").collect()} == {1, 2, 3}
+
+
 def test_registered_queries():
     from quiverspark.llm import queries
 
