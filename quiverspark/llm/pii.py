@@ -9,7 +9,11 @@ apart; sum-product messages run until they settle, and a doubtful token whose be
 kind passes one half becomes a span of it.  Base spans are clamped and always stay.
 
 Equal tokens are joined each to the next, so edges grow with the tokens and not with
-their pairs.  The map is narrow; texts without a digit and an at sign cost one search.
+their pairs.  What a base span says about its content reaches every repeat all the same: a
+clamped neighbour's message is a constant, so it is added to the repeat's evidence without
+an edge.  Doubtful tokens of one content share the evidence of the best supported of them,
+as repeats of one string are no independent witnesses.
+The map is narrow; texts without a digit and an at sign cost one search.
 """
 
 from __future__ import annotations
@@ -158,6 +162,23 @@ def skip_edges(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(pairs, dtype=np.int64).reshape(-1, 2), np.array(weights)
 
 
+def anchored(tokens: list[str], kinds: list[str | None]) -> np.ndarray:
+    """Evidence (tokens, labels) from the base spans, those with a kind, for each doubtful token of their
+    content or likeness that no skip edge joins to such a span."""
+    drawn, places = np.zeros((len(tokens), 5)), {}
+    for i, token in enumerate(tokens):
+        for key, weight in zip(_contents(token), (SAME, ALIKE), strict=True):
+            places.setdefault((weight, key), []).append(i)
+    for (weight, _), found in places.items():
+        known = {kinds[i] for i in found} - {None}
+        for n, i in enumerate(found if known else []):
+            if kinds[i] is None:
+                beside = {kinds[j] for j in found[max(0, n - 1) : n + 2]}
+                for kind in known - beside:
+                    drawn[i, 1 + KINDS.index(kind)] += weight
+    return drawn
+
+
 def beliefs(evidence: np.ndarray, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Loopy sum-product over Potts edges; evidence and result are (nodes, labels)."""
     if not len(pairs):
@@ -195,13 +216,19 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     evidence = np.zeros((len(nodes), 5))
     for i, (kind, _, _) in enumerate(base):
         evidence[i, 1 + KINDS.index(kind)] = CLAMP
-    for i, (_, _, e) in enumerate(extra):
+    shared: dict[str, np.ndarray] = {}
+    contents = [_contents(text[a:b])[0] for a, b, _ in extra]
+    for content, (_, _, e) in zip(contents, extra, strict=True):
         e = np.where(e == 0, -8.0, e)
-        e[0] = 0.0
-        evidence[len(base) + i] = e
+        shared[content] = np.maximum(shared.get(content, e), e)
+    for i, (content, (_, _, e)) in enumerate(zip(contents, extra, strict=True)):
+        evidence[len(base) + i] = np.where(e == 0, -8.0, shared[content])
+        evidence[len(base) + i, 0] = 0.0
     order = sorted(range(len(nodes)), key=lambda i: nodes[i][:2])
     close = [(i, j) for i, j in zip(order, order[1:], strict=False) if nodes[j][0] - nodes[i][1] <= NEAR_CHARACTERS]
-    ranked, weights = skip_edges([text[nodes[i][0] : nodes[i][1]] for i in order])
+    tokens = [text[nodes[i][0] : nodes[i][1]] for i in order]
+    evidence[order] += anchored(tokens, [nodes[i][2] for i in order])
+    ranked, weights = skip_edges(tokens)
     skips = np.array(order)[ranked] if len(ranked) else ranked
     pairs = np.concatenate((np.array(close, dtype=np.int64).reshape(-1, 2), skips))
     b = beliefs(evidence, pairs, np.concatenate((np.full(len(close), NEAR), weights)))

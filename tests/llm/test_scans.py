@@ -52,6 +52,18 @@ def test_the_field_adds_what_the_patterns_lose():
     assert pii.redact(text).startswith("call [PHONE] [IP] now, mail [EMAIL]; [EMAIL] was")
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 50, 2000])
+@pytest.mark.parametrize("first,token,kind", [("mail joe.doe77@x.org", "joe.doe77", "email"), ("call +1 415 555 1234", "1 415 555 1234", "phone"), ("call +1 (826) 555-4081 190.137.223.204", "1 826 555 4081", "phone")])
+def test_the_field_finds_every_repeat(n, first, token, kind):
+    far = " " + "nothing of note in here " * 4
+    for parts in ([first] + [token] * n, [token] * n + [first], [token] * (n // 2) + [first] + [token] * (n - n // 2)):
+        text = far.join(parts)
+        found = [text[a:b] for k, a, b, base in pii.all_spans(text) if k == kind and not base]
+        assert found.count(token) == n
+    # repeats alone are no evidence
+    assert pii.all_spans(far.join([token] * n)) == []
+
+
 def test_loopy_messages_on_a_tree_are_exact():
     rng = np.random.default_rng(1)
     e, pairs, w = rng.normal(0, 1, (3, 5)), np.array([[0, 1], [1, 2]]), np.array([0.7, 1.3])
