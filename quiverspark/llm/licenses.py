@@ -63,6 +63,31 @@ KNOWN = [
     ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
 ]
 
+#: Canonical digests of longer licenses, of the whole text as it is commonly handed out.  The SQL
+#: is made from the texts in ``KNOWN`` alone and has no license for these.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "3bdc79006a448b12272ff3c7e89ba879b458f7f1d9c6bc3900e9f1dc91d1a01c"),
+    ("Apache-2.0", "dd600d12c2ca392abed11390ce57de5e82e080eafbbef49fcc6a127eba236ac1"),  # up to the end of its terms
+    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "39aef436e498ff2cd3e7afa6ef5a4b212c88d4a431fc422d0c8c38a5415879c5"),
+    ("GFDL-1.3-only", "a5fce881e0e279041af062ab70bdfe559698bd3c47bc84530c3442b8767c44ff"),
+    ("GPL-1.0-only", "490a17f9c44b8e7737e6d5b52eebf4c3610f67ee98c4ad515329fa012eebe42d"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),  # up to the end of its terms
+    ("GPL-2.0-only", "b45f95d8277a4c920f37dd2e6bd0bfe7a28fc0622b3328e8a50b73e64eb55b33"),
+    ("GPL-2.0-only", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),  # up to the end of its terms
+    ("GPL-3.0-only", "5dc82c730fd0de0215fbbe3c6d909b3cba71b55d5d23618340f2222474bb6dc2"),
+    ("GPL-3.0-only", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),  # up to the end of its terms
+    ("LGPL-2.0-only", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.0-only", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),  # up to the end of its terms
+    ("LGPL-2.1-only", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-2.1-only", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),  # up to the end of its terms
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "4fb982bbe74d62c2b31513d063e1ce4d8ded3a267038b96b829c69c1e3d7b7d0"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|all rights reserved)[^\n]*"
 _NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f‘’“”–— ]+"
@@ -86,7 +111,10 @@ def digest(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and license_id, one row per digest; the smallest identifier where two texts agree."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(digest(F.col("text")).alias("digest"), "license_id")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(KNOWN_DIGESTS, "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

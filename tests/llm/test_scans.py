@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -106,6 +107,16 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(tricky(spark)).count() == 9
 
 
+def test_long_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    folder = Path("/usr/share/common-licenses")
+    if not all((folder / f).exists() for f in files):
+        pytest.skip("no license texts here")
+    texts = [(folder / f).read_text() for f in files]
+    got = licenses.scan(frame(spark, [(k, t, "en") for k, t in enumerate(texts)] + [(100 + k, t[:-40], "en") for k, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {**dict(enumerate(files.values())), **{100 + k: None for k in range(len(files))}}
+
+
 def test_license_sql_agrees(spark):
     docs = tricky(spark).unionByName(frame(spark, [(20 + i, t.replace("license", "Licence"), "en") for i, (_, t) in enumerate(licenses.KNOWN)] + [(50, "don’t “quote” – this — ok", "en")]))
     documents = docs.select("doc_id", "text").toPandas()
