@@ -5,8 +5,8 @@ repeated lines and windows, capitals, bars, exclamation marks, distinct words.
 statistic counts from the point where its rule begins to bite, so lawful variety is flat.  Two plain rules reject first.
 The verdict on the rest is an isolation forest's: random splits isolate unusual rows
 in few steps, so the mean path length over the trees, set against what a random binary
-tree would need, is an anomaly score.  The forest grows on a bounded sample of documents
-and the score above which a document goes is calibrated on bounded labelled rows.
+tree would need, is an anomaly score.  The forest grows on a bounded sample of documents;
+the score above which a document goes is calibrated on all labelled rows, by aggregates.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverspark.llm import common
+from quiverspark.plans.workspace import write_table
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -94,7 +95,6 @@ class Options:
     """Bounds of the samples, and the forest's shape."""
 
     sample: int = 4096  # documents for the forest
-    labelled: int = 3000  # rows of each label for the threshold
     trees: int = 128
     rows_a_tree: int = 128
     keep: float = 0.998  # of the labelled good rows that must stay
@@ -166,14 +166,34 @@ class Model:
     threshold: float
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray, keep: float) -> float:
-    """The lowest threshold that keeps the asked share of good rows, raised while that rejects no fewer bad ones."""
-    if not good.any() or good.all():
+BINS = 1024
+
+
+def _ranked(scores: DataFrame, rank: int) -> float:
+    """The value of the column ``anomaly`` that ``rank`` values precede in order: bins around it are counted
+    and narrowed until one value is left, so at most ``BINS`` rows at a time reach the driver."""
+    low, high = scores.agg(F.min("anomaly"), F.max("anomaly")).first()
+    while low < high:
+        place = F.least(F.floor((F.col("anomaly") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = scores.where(F.col("anomaly").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("anomaly"), F.max("anomaly"))
+        for _, n, low, high in sorted(bins.collect()):
+            if rank < n:
+                break
+            rank -= n
+    return float(low)
+
+
+def calibrated(scored: DataFrame, keep: float) -> float:
+    """The lowest threshold that keeps the asked share of good rows, raised while that rejects no fewer bad ones.
+
+    ``scored`` has ``anomaly`` and ``good`` of every labelled row.
+    """
+    n_good, n = scored.agg(F.count_if("good"), F.count("*")).first()
+    if n_good in (0, n):
         return 1.0
-    fine = np.sort(scores[good])
-    limit = fine[min(len(fine) - 1, math.ceil(keep * len(fine)))]
-    above = scores[~good][scores[~good] > limit]
-    return float((limit + above.min()) / 2) if len(above) else 1.0
+    limit = _ranked(scored.where("good"), min(n_good - 1, math.ceil(keep * n_good)))
+    above = scored.where(~F.col("good") & (F.col("anomaly") > limit)).agg(F.min("anomaly")).first()[0]
+    return float((limit + above) / 2) if above is not None else 1.0
 
 
 SHARES_TYPE = pa.list_(pa.float64())
@@ -192,41 +212,41 @@ def measured(docs: DataFrame) -> DataFrame:
     return common.id_and_text(docs).mapInArrow(run, MEASURED_DDL)
 
 
-def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    """Grow the forest on a bounded sample of documents and calibrate it on bounded labelled rows.
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """Measured rows with their anomaly in place of the shares."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = batch["shares"].flatten().to_numpy().reshape(-1, len(SHARES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(shares))], names=[*batch.schema.names[:-1], "anomaly"])
+
+    return rows.mapInArrow(run, MEASURED_DDL.replace("shares array<double>", "anomaly double"))
+
 
-    Rows are taken in an order hashed from doc_id; only their ids and shares pass the driver.
+def fit(rows: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
+    """Grow the forest on a bounded sample of measured rows and calibrate it on all labelled ones.
+
+    The sample is taken in an order hashed from doc_id; only its ids and shares pass the driver.
+    Rows of one doc_id count once, by their largest anomaly.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    picked = {r[0]: None for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample).collect()}
-    sampled = set(picked)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    for value in (0, 1):
-        part = known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(options.labelled)
-        picked.update((r[0], value) for r in part.collect())
-    few = spark.createDataFrame(list(picked.items()), "doc_id long, quality int")
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).where(f"n_words >= {LEAST_WORDS}").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    shares = np.array([r["shares"] for r in rows]).reshape(-1, len(SHARES))
-    labelled = np.array([picked[r["doc_id"]] is not None for r in rows], dtype=bool)
-    good = np.array([picked[r["doc_id"]] == 1 for r in rows], dtype=bool)
-    forest = Forest(shares[[r["doc_id"] in sampled for r in rows]], options)
-    return Model(forest, calibrated(forest.score(shares[labelled]), good[labelled], options.keep))
+    spark = rows.sparkSession
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL")
+    sampled = [(r[0],) for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample).collect()]
+    long = rows.where(f"n_words >= {LEAST_WORDS}")
+    few = long.join(F.broadcast(spark.createDataFrame(sampled, "doc_id long")), "doc_id", "left_semi").select("doc_id", "shares").dropDuplicates(["doc_id"]).collect()
+    few.sort(key=lambda r: r["doc_id"])
+    forest = Forest(np.array([r["shares"] for r in few]).reshape(-1, len(SHARES)), options)
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality IN (0, 1)")
+    told = scored(long.join(known, "doc_id", "left_semi"), forest).groupBy("doc_id").agg(F.max("anomaly").alias("anomaly"))
+    told = write_table(told.join(known, "doc_id").select("anomaly", (F.col("quality") == 1).alias("good")), "calibration")
+    return Model(forest, calibrated(told, options.keep))
 
 
 def judge(rows: DataFrame, model: Model) -> DataFrame:
     """Add base_failed, anomaly and kept to measured rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shares = batch["shares"].flatten().to_numpy().reshape(-1, len(SHARES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.forest.score(shares))], names=[*batch.schema.names[:-1], "anomaly"])
-
-    scored = rows.mapInArrow(run, MEASURED_DDL.replace("shares array<double>", "anomaly double"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= model.threshold))
+    return scored(rows, model.forest).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= model.threshold))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
@@ -236,12 +256,13 @@ def verdicts(docs: DataFrame, labels: DataFrame, options: Options = Options()) -
     rows are judged alike; extra columns are not read; an empty table gives no rows.  Without
     labels of both kinds only the plain rules reject.
     """
-    return judge(measured(docs), fit(docs, labels, options)).select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+    rows = write_table(measured(docs), "measured")
+    return judge(rows, fit(rows, labels, options)).select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
 
 
 def rule_abiding(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The documents that are kept, with their own columns; one narrow pass over the texts."""
-    model = fit(docs, labels, options)
+    """The documents that are kept, with their own columns; one narrow pass over the texts to measure and one to keep."""
+    model = fit(write_table(measured(docs), "measured"), labels, options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

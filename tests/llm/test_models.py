@@ -160,6 +160,28 @@ def test_verdicts(spark, mixed):
     assert all(r["kept"] == (not r["base_failed"]) for r in plain)
 
 
+def test_the_threshold_rests_on_all_labelled_rows(spark):
+    rng, texts = random.Random(4), []
+    for i in range(4200):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(30, 90))]
+        marked = rng.random() if i % 7 == 0 or i % 16 == 0 else 0
+        texts.append(" ".join(w + "!" * (rng.random() < marked) + "%" * (rng.random() < marked) for w in words))
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = sorted(quality.verdicts(docs, labelled(spark, [(i, int(i % 16 != 0)) for i in range(4200)], "quality"), quality.Options(keep=0.95)).collect())
+    assert not any(r["base_failed"] for r in got)
+    scores = np.array([r["anomaly"] for r in got])
+    fine, bad = np.sort(np.delete(scores, np.s_[::16])), scores[::16]
+    limit = fine[-(-95 * len(fine) // 100)]
+    threshold = (limit + bad[bad > limit].min()) / 2 if (bad > limit).any() else 1.0
+    assert [r["kept"] for r in got] == (scores <= threshold).tolist()
+
+
+@pytest.mark.parametrize("rank", [0, 1, 700, 2998, 2999])
+def test_ranks_are_exact(spark, rank):
+    values = np.random.default_rng(2).beta(2, 9, 3000).round(5)
+    assert quality._ranked(spark.createDataFrame([(float(v),) for v in values], "anomaly double"), rank) == np.sort(values)[rank]
+
+
 def test_forest_scores_strangers_higher():
     rng = np.random.default_rng(0)
     rows = rng.normal(0, 0.1, (1000, 3))
