@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -45,7 +45,9 @@ _SHAPES = {
     "ip": re.compile(r"(?<![0-9.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     "phone": re.compile(r"(?<![0-9.])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
-_NEAR_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)*")
+_AT = re.compile(r" ?@ ?| ?[\[(]at[\])] ?")
+_NEAR_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)*")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -71,11 +73,51 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def in_octet(part: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and int(part) <= 255
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of the ip pattern whose parts fit: each run of digits and single dots
+    is met once, and every four parts of it are one match."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        parts, at = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(in_octet, four)):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
+def near_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses with spaces about the sign, or with a sign or dots spelt in brackets: from each sign outwards,
+    so a long run of letters is walked through once."""
+    found, free = [], 0
+    for sign in _AT.finditer(text):
+        start = sign.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _NEAR_DOMAIN.match(text, sign.end()) if start < sign.start() else None
+        if m:
+            found.append((start, m.end()))
+            free = m.end()
+        else:
+            free = max(free, sign.start())
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start; matches that fail their check are dropped."""
     spans = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        spans += [("ip", a, b) for a, b in addresses(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = _NOT_DIGITS.sub("", m.group())
@@ -114,16 +156,15 @@ def doubtful(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
                     good = 4.0 if m.group()[0] == "+" and 9 <= len(digits) <= 15 else 1.0
                 add(m.start(), m.end(), kind, good)
     if "@" in text or "at]" in text or "at)" in text:
-        for m in _NEAR_EMAIL.finditer(text):
-            add(m.start(), m.end(), "email", 3.0 if "." in m.group().partition("@")[2] or "dot" in m.group() else 0.5)
-    for local in {text[a:b].partition("@")[0] for k, a, b in base if k == "email"}:
-        if len(local) >= 6 and _DIGIT.search(local):
-            at = text.find(local)
-            while at >= 0:
-                end = at + len(local)
-                if (at == 0 or text[at - 1] not in _LOCAL) and (end == len(text) or text[end] not in _LOCAL and text[end] != "@"):
-                    add(at, end, "email", 0.0)
-                at = text.find(local, end)
+        for a, b in near_emails(text):
+            token = text[a:b]
+            add(a, b, "email", 3.0 if "." in token.partition("@")[2] or "dot" in token else 0.5)
+    locals_ = {text[a:b].partition("@")[0] for k, a, b in base if k == "email"}
+    locals_ = {local for local in locals_ if len(local) >= 6 and _DIGIT.search(local)}
+    for m in _LOCAL_RUN.finditer(text) if locals_ else ():
+        run = m.group() if m.group() in locals_ else m.group().rstrip(".")  # a full stop may follow
+        if run in locals_ and text[m.end() : m.end() + 1] != "@":
+            add(m.start(), m.start() + len(run), "email", 0.0)
     # of doubtful tokens that overlap, the better supported one, then the longer one, stays
     chosen: list[tuple[int, int, np.ndarray]] = []
     covered = bytearray(len(text) if found else 0)

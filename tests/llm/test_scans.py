@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -65,6 +66,28 @@ def test_the_field_finds_every_repeat(n, first, token, kind):
     assert pii.all_spans(far.join([token] * n)) == []
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["0", "255", "256", "300", "0007", "0" * 5000, ".", "..", " ", "x", "1.2.3.4"]), max_size=12).map("".join))
+def test_dotted_numbers(text):
+    fits = lambda p: len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255
+    wanted = [m.span() for m in re.finditer(PATTERNS["ip"], text) if all(map(fits, m.group().split(".")))]
+    assert pii.addresses(text) == wanted
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", " @ ", "@", "(at)", " [at] ", ".", "(dot)", " ", "-", "!"]), max_size=10).map("".join))
+def test_near_emails(text):
+    pattern = r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)*"
+    assert pii.near_emails(text) == [m.span() for m in re.finditer(pattern, text)]
+
+
+@pytest.mark.parametrize("run", ["0" * 5000 + ".1.1.1", "1" * 1_000_000, "Q" * 1_000_000, "1." * 300_000, "+1" + "(" * 1_000_000, "a." * 300_000, " ".join(f"joe.doe{i}@x.org" for i in range(3000))])
+def test_very_long_runs_take_linear_time(run):
+    began = time.time()
+    spans = pii.all_spans("write to ann.lee4@x.org " + run)
+    assert ("email", 9, 23, True) in spans and time.time() - began < 3
+
+
 def test_loopy_messages_on_a_tree_are_exact():
     rng = np.random.default_rng(1)
     e, pairs, w = rng.normal(0, 1, (3, 5)), np.array([[0, 1], [1, 2]]), np.array([0.7, 1.3])
