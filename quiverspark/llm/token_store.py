@@ -1,21 +1,27 @@
 """Token-id store: raw id payloads in shards, found through a minimal perfect hash index.
 
-Format, a folder with two Parquet tables (so any store Spark reaches will do):
+Format, a folder with three Parquet tables (so any store Spark reaches will do):
 
-* ``payload``: one row per block, ``shard, block, first, doc_ids, copies, offsets,
+* ``payload/shard=N``: one row per block, ``block, first, doc_ids, copies, offsets,
   lengths, width, ids``.  ``ids`` are the raw little-endian ids of the block's documents,
   ``width`` bytes each (2 where the vocabulary allows, else 4); ``offsets`` and
   ``lengths`` count ids; ``first`` counts the shard's ids before the block.  Shards
   follow ascending doc_id.
-* ``index``: one row per segment of about 4096 keys, ``segment, keys, sizes, bits,
+* ``index/part=N``: 64 segments of about 4096 keys, ``segment, keys, sizes, bits,
   prints, places``.  ``bits`` holds the levels of a minimal perfect hash (a key lives in
   the first level where no other key took its bit; its slot is the number of set bits
   before it), ``prints`` a 32-bit fingerprint per slot and ``places`` the slot's shard,
   block, offset and length.  Keys themselves are not stored: a lookup costs one probe per
   level (1.6 on average) and a foreign key is refused by its fingerprint, but for one in
   2**32.
+* ``meta``: one row, the number of segments.
 
-A key is (doc_id, copy), where copy counts earlier rows of the same doc_id.
+A key's hash names its segment and so the index folder, its slot names the shard and so the
+payload folder: a lookup of few keys opens these folders by their paths and lists no table.
+
+A key is (doc_id, copy), where copy counts earlier rows of the same doc_id.  Rows of one
+doc_id may spread over shards; ``copies`` in a block count from the shard's first such row,
+and ``directory`` adds those of earlier shards.
 """
 
 from __future__ import annotations
@@ -28,23 +34,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverspark.llm import common
 from quiverspark.plans.workspace import new_path, partitions_for
+from quiverspark.sources.store import exists
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 20
 SEGMENT_KEYS = 4096
 LOAD = 1.6
+SEGMENTS_A_PART = 64
+FEW_KEYS = 1000  # keys up to which a lookup opens folders by their paths; more are joined
 
 PAYLOAD_DDL = "shard int, block int, first long, doc_ids array<long>, copies array<int>, offsets array<long>, lengths array<long>, width int, ids binary"
 PAYLOAD = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary())]
 )
-INDEX_DDL = "segment long, keys int, sizes array<int>, bits binary, prints binary, places binary"
+INDEX_DDL = "part long, segment long, keys int, sizes array<int>, bits binary, prints binary, places binary"
 PLACE_DDL = "doc_id long, copy int, shard int, block int, offset long, n_tokens long"
 
 
@@ -93,7 +102,11 @@ class PerfectHash:
 
 
 def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Payload blocks in ascending doc_id order; one range shuffle of the texts, then a narrow encode."""
+    """Payload blocks in ascending doc_id order; one range shuffle of the texts, then a narrow encode.
+
+    Ranges also follow a hash of the text and the row's place, so rows that share a doc_id, or
+    have none, are no single task's.
+    """
     end = np.array([end_id], dtype="<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +137,23 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield row()
 
     texts = common.id_and_text(docs)
-    ordered = texts.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, PAYLOAD_DDL)
+    order = ["doc_id", "content", "place"]
+    placed = texts.select("*", F.xxhash64("text").alias("content"), F.monotonically_increasing_id().alias("place"))
+    return placed.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, PAYLOAD_DDL)
 
 
-def _segment(segments: int):
+def _segment(segments: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.col("copy")), F.lit(segments))
 
 
+def _part(segment: Column) -> Column:
+    return F.floor(segment / SEGMENTS_A_PART)
+
+
+def _asked(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("copy").cast("int").alias("copy")).distinct()
+
+
 def _null_as_key(doc_ids: pd.Series) -> np.ndarray:
     return doc_ids.fillna(-(1 << 63)).to_numpy(dtype=np.int64)
 
@@ -139,22 +161,26 @@ def _null_as_key(doc_ids: pd.Series) -> np.ndarray:
 class TokenStore:
     """A written store; ``write`` makes one, ``scan`` and ``lookup`` read it."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, payload: DataFrame | None = None):
         self.spark, self.path = spark, path
-        self.payload = spark.read.schema(PAYLOAD_DDL).parquet(f"{path}/payload")
+        self.payload = spark.read.schema(PAYLOAD_DDL).parquet(f"{path}/payload") if payload is None else payload
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> TokenStore:
         """Encode whole texts, write payload and index.
 
         A null or empty text is its end id alone; a null doc_id sorts first and is a key
-        like any other; rows that repeat a doc_id are stored in the order of their texts as
-        copies 0, 1, ...; extra columns are not read; an empty table gives an empty store.
+        like any other; rows that repeat a doc_id are stored in the order of a hash of their
+        texts, then of their places, as copies 0, 1, ...; a text of any length is one
+        document of one block, which holds more than its usual ids if it must; extra columns
+        are not read; an empty table gives an empty store.
         """
-        encode_blocks(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(f"{path}/payload")
-        store = cls(docs.sparkSession, path)
+        encode_blocks(docs, tokenizer, end_id).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/payload")
+        spark = docs.sparkSession
+        store = cls(spark, path)
         keys = store.directory().select("doc_id", "copy", "shard", "block", "offset", "n_tokens")
-        segments = max(1, math.ceil(store.payload.agg(F.sum(F.size("doc_ids"))).first()[0] or 0) // SEGMENT_KEYS)
+        segments = max(1, (store.payload.agg(F.sum(F.size("doc_ids"))).first()[0] or 0) // SEGMENT_KEYS)
+        spark.createDataFrame([(segments,)], "segments long").write.parquet(f"{path}/meta")
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             hashes = key_hashes(_null_as_key(rows["doc_id"]), rows["copy"].to_numpy())
@@ -163,22 +189,35 @@ class TokenStore:
             prints, places = np.zeros(len(rows), dtype="<u4"), np.zeros((len(rows), 4), dtype="<i8")
             prints[slots] = (_mix(hashes, 3) & np.uint64(0xFFFFFFFF)).astype("<u4")
             places[slots] = rows[["shard", "block", "offset", "n_tokens"]].to_numpy(dtype="<i8")
-            return pd.DataFrame({"segment": [key[0]], "keys": [len(rows)], "sizes": [perfect.sizes], "bits": [np.packbits(perfect.bits).tobytes()], "prints": [prints.tobytes()], "places": [places.tobytes()]})
+            return pd.DataFrame({"part": [key[0]], "segment": [key[1]], "keys": [len(rows)], "sizes": [perfect.sizes], "bits": [np.packbits(perfect.bits).tobytes()], "prints": [prints.tobytes()], "places": [places.tobytes()]})
 
-        index = keys.withColumn("segment", _segment(segments)).groupBy("segment").applyInPandas(build, INDEX_DDL)
-        index.withColumn("segments", F.lit(segments)).write.parquet(f"{path}/index")
+        # dealt by part, which serves the grouping by part and segment too
+        dealt = keys.withColumn("segment", _segment(segments)).withColumn("part", _part(F.col("segment"))).repartition("part")
+        dealt.groupBy("part", "segment").applyInPandas(build, INDEX_DDL).write.partitionBy("part").parquet(f"{path}/index")
         return store
 
+    def segments(self) -> int:
+        return self.spark.read.schema("segments long").parquet(f"{self.path}/meta").first()[0]
+
+    def _folders(self, table: str, column: str, values: list[int], ddl: str) -> DataFrame:
+        """Rows of some folders of a table, opened by their paths."""
+        paths = [p for v in values if exists(self.spark, p := f"{self.path}/{table}/{column}={v}")]
+        if not paths:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).option("basePath", f"{self.path}/{table}").parquet(*paths)
+
     def directory(self) -> DataFrame:
         """Header rows of the payload, one per document, without reading ids."""
         each = F.explode(F.arrays_zip("doc_ids", "copies", "offsets", "lengths")).alias("x")
-        return self.payload.select("shard", "block", "first", each).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.copies").alias("copy"), "shard", "block", "first", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("n_tokens"))
+        headers = self.payload.join(F.broadcast(self.shard_starts()), "shard").select("shard", "block", "first", "first_id", "earlier", each)
+        copy = F.col("x.copies") + F.when(F.col("x.doc_ids").eqNullSafe(F.col("first_id")), F.col("earlier")).otherwise(0)
+        return headers.select(F.col("x.doc_ids").alias("doc_id"), copy.cast("int").alias("copy"), "shard", "block", "first", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("n_tokens"))
 
-    def locate(self, keys: DataFrame) -> DataFrame:
+    def locate(self, keys: DataFrame, index: DataFrame | None = None) -> DataFrame:
         """Places of keys (doc_id, copy) by the index; keys it does not hold are left out."""
-        index = self.spark.read.schema(f"{INDEX_DDL}, segments int").parquet(f"{self.path}/index")
-        head = index.select("segments").limit(1).collect()
-        segments = head[0][0] if head else 1
+        segments = self.segments()
+        if index is None:
+            index = self.spark.read.schema(INDEX_DDL).parquet(f"{self.path}/index")
 
         def probe(key: tuple, wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(wanted) or not len(held):
@@ -194,8 +233,8 @@ class TokenStore:
                 out[name] = places[slots[good], k]
             return out
 
-        asked = keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("copy").cast("int").alias("copy")).distinct().withColumn("segment", _segment(segments))
-        return asked.groupBy("segment").cogroup(index.drop("segments").groupBy("segment")).applyInPandas(probe, PLACE_DDL)
+        asked = _asked(keys).withColumn("segment", _segment(segments))
+        return asked.groupBy("segment").cogroup(index.drop("part").groupBy("segment")).applyInPandas(probe, PLACE_DDL)
 
     def slices(self) -> DataFrame:
         """Each document's ids as little-endian uint32, read block by block: shard, block, offset, start, ids."""
@@ -214,27 +253,43 @@ class TokenStore:
         return blocks.mapInArrow(cut, "shard int, block int, offset long, start_in_shard long, ids binary")
 
     def shard_starts(self) -> DataFrame:
-        """Ids before each shard; one row per shard passes the driver, whatever the corpus holds."""
-        totals = self.payload.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()
-        rows, total = [], 0
-        for shard, n in sorted(map(tuple, totals)):
-            rows.append((shard, total))
-            total += n
-        return self.spark.createDataFrame(rows, "shard int, before long")
+        """Ids before each shard, its first doc_id, and rows of that one in earlier shards; one row per shard
+        passes the driver, whatever the corpus holds."""
+        each = self.payload.select("shard", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.col("doc_ids")[0].alias("first_id"), F.element_at("doc_ids", -1).alias("last_id"), F.element_at("copies", -1).alias("last_copy"))
+        ends = each.groupBy("shard").agg(F.sum("n").alias("n"), F.min(F.struct("block", "first_id")).alias("a"), F.max(F.struct("block", "last_id", "last_copy")).alias("z"))
+        rows, total, last, copies = [], 0, None, 0
+        for r in sorted(ends.collect(), key=lambda r: r["shard"]):
+            earlier = copies if rows and r["a"]["first_id"] == last else 0
+            rows.append((r["shard"], total, r["a"]["first_id"], earlier))
+            total += r["n"]
+            copies = r["z"]["last_copy"] + 1 + (earlier if r["z"]["last_id"] == r["a"]["first_id"] else 0)
+            last = r["z"]["last_id"]
+        return self.spark.createDataFrame(rows, "shard int, before long, first_id long, earlier int")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """doc_id, copy and ids of the asked keys: index first, then only the blocks it names."""
-        places = self.locate(keys)
-        blocks = self.payload.join(places.select("shard", "block").distinct(), ["shard", "block"], "left_semi")
-        held = TokenStore.__new__(TokenStore)
-        held.spark, held.path, held.payload = self.spark, self.path, blocks
+        """doc_id, copy and ids of the asked keys: index first, then only the blocks it names.
+
+        Up to ``FEW_KEYS`` keys cost the folders of their segments and shards, whatever the
+        store holds; more are joined with the whole index and payload.
+        """
+        few = _asked(keys).withColumn("part", _part(_segment(self.segments()))).limit(FEW_KEYS + 1).collect()
+        if len(few) > FEW_KEYS:
+            places = self.locate(keys)
+            blocks = self.payload.join(places.select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+        else:
+            asked = self.spark.createDataFrame([(r["doc_id"], r["copy"]) for r in few], "doc_id long, copy int")
+            found = self.locate(asked, self._folders("index", "part", sorted({r["part"] for r in few}), INDEX_DDL)).collect()
+            places = self.spark.createDataFrame(found, PLACE_DDL)
+            payload = self._folders("payload", "shard", sorted({r["shard"] for r in found}), PAYLOAD_DDL)
+            blocks = payload.where(F.struct("shard", "block").isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted({(r["shard"], r["block"]) for r in found})])) if found else payload
+        held = TokenStore(self.spark, self.path, blocks)
         return places.join(held.slices(), ["shard", "block", "offset"]).select("doc_id", "copy", "n_tokens", "ids")
 
     def digests(self) -> DataFrame:
         """doc_id, copy, start, n_tokens and ids_crc32 of every stored document, read back through the index."""
         places = self.locate(self.directory().select("doc_id", "copy"))
         read = self.slices().withColumn("ids_crc32", F.crc32("ids")).withColumn("read_tokens", F.length("ids") / 4).drop("ids")
-        read = read.join(F.broadcast(self.shard_starts()), "shard")
+        read = read.join(F.broadcast(self.shard_starts().select("shard", "before")), "shard")
         found = places.join(read, ["shard", "block", "offset"]).where(F.col("n_tokens") == F.col("read_tokens"))
         return found.select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "copy")
 

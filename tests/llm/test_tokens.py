@@ -61,6 +61,43 @@ def test_blocks_end_and_go_on(spark, monkeypatch):
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
+def test_a_lookup_opens_the_folders_of_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT_KEYS", 4)
+    monkeypatch.setattr(token_store, "SEGMENTS_A_PART", 2)
+    docs = frame(spark, [(i, prose(random.Random(i), 40), "en") for i in range(200)])
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        store = token_store.TokenStore.write(docs, new_path(spark, "store"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert store.segments() == 50 and store.payload.select("shard").distinct().count() > 4
+    one = store.lookup(spark.createDataFrame([(77, 0)], "doc_id long, copy int"))
+    files = one.inputFiles()
+    assert len([f for f in files if "/payload/" in f]) == 1 and not [f for f in files if "/index/" in f]
+    truth = library("word_bpe_49k.json")(docs.where("doc_id = 77").first()["text"])
+    assert (np.frombuffer(one.first()["ids"], "<u4")[:-1] == truth).all()
+    parts = store._folders("index", "part", [3], token_store.INDEX_DDL)
+    assert parts.count() <= 2 and {r["part"] for r in parts.select("part").collect()} == {3}
+    monkeypatch.setattr(token_store, "FEW_KEYS", 0)
+    joined = store.lookup(spark.createDataFrame([(77, 0), (78, 0), (1000, 0)], "doc_id long, copy int"))
+    assert {r["doc_id"] for r in joined.collect()} == {77, 78}
+
+
+def test_rows_of_one_id_spread_over_shards(spark):
+    docs = frame(spark, [(None if i % 2 else 5, "one text" if i % 3 else f"text {i}", "en") for i in range(600)] + [(9, "last", "en")])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        store = token_store.TokenStore.write(docs, new_path(spark, "store"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = store.directory().collect()
+    assert len({r["shard"] for r in rows if r["doc_id"] == 5}) > 1
+    for i, n in ((None, 300), (5, 300), (9, 1)):
+        assert sorted(r["copy"] for r in rows if r["doc_id"] == i) == list(range(n))
+    got = sorted((r["start"], r["n_tokens"]) for r in store.digests().collect())
+    assert len(got) == 601 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
 def test_perfect_hash():
     keys = token_store.key_hashes(np.arange(5000), np.zeros(5000))
     perfect = token_store.PerfectHash.build(keys)
