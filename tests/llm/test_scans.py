@@ -175,7 +175,7 @@ def test_neighbours(spark):
     rows = [(i, (centres[i % 8] + 0.3 * rng.normal(0, 1, 16)).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)]  # one common vector
     df = vectors_of(spark, [(i, v, 0, 0) for i, v in rows])
-    o = ann.Options(leaf=64, block=50, step=16, queries_at_once=5)
+    o = ann.Options(leaf=64, block=50, step=16, numbers_at_once=64 * 16)
     got = {}
     for r in ann.nearest(df, F.col("id") % 20 == 0, o).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -200,6 +200,52 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 4 + (i % 3 == 0) + 2 * (i % 50 == 1)).astype(np.float32).tolist()) for i in range(300)]
+    got = {}
+    for r in ann.nearest(vectors_of(spark, [(i, v, 0, 0) for i, v in rows]), F.col("id") % 20 == 1, ann.Options(trees=2, confidence=0.9999)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for d in (4, 5, 6, 7):
+        alike = [(i, v) for i, v in rows if len(v) == d]
+        for q, found in brute_neighbours(alike, lambda i: i % 20 == 1, 10).items():
+            assert got.get(q, []) == [i for i, _ in found]
+
+
+def clustered(rng, n, d=48, clusters=40, spread=0.2):
+    return (rng.normal(0, 1, (clusters, d))[rng.integers(clusters, size=n)] + spread * rng.normal(0, 1, (n, d))).astype(np.float32).astype(np.float64)
+
+
+def test_the_test_saves_verifications_at_the_asked_recall():
+    rng = np.random.default_rng(6)
+    x, o = clustered(rng, 4000), ann.Options()
+    tree = ann.Tree.fit(x, len(x), o)
+    queries = x[::40]
+    found, verified = ann.visit_block(x, [np.array([i]) for i in range(len(x))], queries, np.arange(len(queries)), np.full(len(queries), np.inf), tree, o)
+    assert verified < 0.2 * len(x) * len(queries)
+    true = np.argsort(((queries[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, :11]
+    hits = sum(len(set(found[found["query"] == i]["id"]) & set(t)) for i, t in enumerate(true))
+    assert hits >= 0.93 * true.size
+    # more projections where they pay
+    assert ann.chosen(rng.normal(0, 1, (2000, 256)), o) > ann.chosen(rng.normal(0, 1, (2000, 2)), o)
+
+
+def test_blocks_go_to_their_own_visitors(spark, monkeypatch):
+    """A block is copied once for each portion of the queries that visit it, not for each portion of all queries."""
+    rng = np.random.default_rng(7)
+    x = clustered(rng, 3000, d=16, clusters=30, spread=0.02)
+    df = vectors_of(spark, [(i, v.tolist(), 0, 0) for i, v in enumerate(x)])
+    written = {}
+    whole = ann.write_table
+    monkeypatch.setattr(ann, "write_table", lambda frame, name: written.setdefault(name + "2" * (name in written), whole(frame, name)))
+    o = ann.Options(leaf=100, block=100, numbers_at_once=64 * 16)
+    assert ann.nearest(df, F.col("id") % 10 == 0, o).count() == 3000
+    blocks = written["placed"].groupBy("d", "leaf").count().count()
+    copies = written["portions2"].agg(F.sum("portions")).first()[0]
+    visits = written["visits2"].count()
+    assert copies <= visits / 64 + written["portions2"].count() and visits < 0.5 * blocks * 300
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.9, 8), 8) - 0.9) < 1e-9
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
