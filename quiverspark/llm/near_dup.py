@@ -5,15 +5,25 @@
    band keys of 5 full minima each.
 2. Texts with one set are one class; its representative is the smallest doc_id.  Copies
    are never compared with each other.
-3. Classes that share a band key meet in a bucket.  Buckets are cut into blocks of 512, so
-   no task holds more than two blocks, and each pair of blocks is compared inside one task:
-   similarity is estimated from the packed bits (corrected for the 1 in 16 chance that
-   bits agree by accident) and only *classes with a likely partner* are kept, at most one
-   row per class and pair of blocks.  A pair that already met in an earlier band is left
-   to that band.
-4. Shingle sets of the kept classes are made again from their whole texts, and links are
+3. Classes that share a band key meet in a bucket.  A bucket of more than 256 classes is
+   contracted first: each class goes to a block of one of its buckets, the most crowded,
+   and is linked there exactly; then a few heads of each group so found are linked with
+   heads of others, first in that bucket, then, for groups of some size, in all crowded
+   ones, until groups no longer fall in number.  m near copies cost a multiple of m rows
+   and end as one group and a few classes beside it.
+4. What is left to compare are pairs whose groups differ.  A bucket of one group is done; in
+   a small one all classes meet; in a crowded one the classes outside its largest group, in
+   blocks, meet each other and the blocks of that group, so members of one group are not
+   compared again.  Similarity is estimated from the packed bits (corrected for the 1 in 16
+   chance that bits agree by accident) and only *classes with a likely partner* are kept, at
+   most one row per class and pair of blocks.  A pair that shares an earlier band is left to
+   that band.
+5. Shingle sets of the kept classes are made again from their whole texts, and links are
    confirmed on them exactly; each task gives a spanning forest of its links, not all pairs.
-5. Components of the forests give the groups.
+6. Components of the forests give the groups.
+
+The work inside a crowded bucket still grows with the square of the classes that stay outside
+its largest group: texts that share a band, five full minima, but are not linked.
 
 A pair at similarity 0.85 shares a band with probability 1 - 7e-7 (1 - (1 - 0.85**5)**24),
 one at 0.80 with 1 - 7e-5, and the estimate's cut lies 5.3 and 4.7 standard errors below
@@ -22,24 +32,25 @@ those thresholds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiverspark.llm import common
 from quiverspark.operators.components import connected_components
-from quiverspark.plans.workspace import partitions_for, write_table
+from quiverspark.plans.workspace import partitions_for, write_counted, write_observed, write_table
 
 WORDS = 5
 BANDS, ROWS, BITS = 24, 5, 4
 HASHES = BANDS * ROWS
 THRESHOLD = 85
 MARGIN = 0.18
-BLOCK = 512
+BLOCK = 256
+HEADS, MEMBERS, CONTRACTIONS = 4, 16, 8
 PAIRS_AT_ONCE = 1 << 16
 MEMO_WORDS = 400_000
 
@@ -190,18 +201,18 @@ KEYS = ["band", "key", "p", "q"]
 
 
 def likely(buckets: DataFrame, cut: float, threshold: int) -> DataFrame:
-    """(band, key, p, q, rep) of classes with a likely partner in a pair of blocks."""
-    schema = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("rep", pa.int64()), ("block", pa.int32())])
+    """(band, key, p, q, rep, comp, block) of classes with a likely partner of another group in a pair of blocks."""
+    schema = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _in_groups(batches, KEYS):
             table = table.combine_chunks()
-            block, p, q, band, n = (table[c].to_numpy() for c in ("block", "p", "q", "band", "n_shingles"))
+            block, p, q, band, n, comp = (table[c].to_numpy() for c in ("block", "p", "q", "band", "n_shingles", "comp"))
             bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype="<u8").reshape(-1, 8)
             bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             flagged = np.zeros(table.num_rows, dtype=bool)
             for a, b in _block_pairs(_spans(table, KEYS), block, p, q):
-                good = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                good = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
                 a, b = a[good], b[good]
                 good = estimate(bits[a], bits[b]) >= cut
                 a, b = a[good], b[good]
@@ -209,9 +220,9 @@ def likely(buckets: DataFrame, cut: float, threshold: int) -> DataFrame:
                 flagged[a[good]] = True
                 flagged[b[good]] = True
             if flagged.any():
-                yield common.batch_of(schema, [table[c].to_numpy()[flagged] for c in (*KEYS, "rep", "block")])
+                yield common.batch_of(schema, [table[c].to_numpy()[flagged] for c in (*KEYS, "rep", "comp", "block")])
 
-    return buckets.mapInArrow(run, "band int, key long, p int, q int, rep long, block int")
+    return buckets.mapInArrow(run, "band int, key long, p int, q int, rep long, comp long, block int")
 
 
 class _Forest:
@@ -252,54 +263,158 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) ->
     return total
 
 
+def _links(rep: list[int], comp: list[int], sets: list[np.ndarray], block: np.ndarray, one: bool, threshold: int, forest: _Forest) -> list[tuple[int, int]]:
+    """Exact links that join groups of the forest: among all rows if ``one``, else across their two blocks."""
+    found = []
+    size = np.array([len(s) for s in sets])
+
+    def take(a: int, b: int) -> None:
+        if forest.join(comp[a], comp[b]):
+            found.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+
+    if len(sets) <= 8:
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                if (one or block[a] != block[b]) and rep[a] != rep[b]:
+                    small, large = sorted((sets[a], sets[b]), key=len)
+                    if 100 * len(small) >= threshold * len(large) and forest.root(comp[a]) != forest.root(comp[b]):
+                        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                        shared = int((large[at] == small).sum())
+                        if 100 * shared >= threshold * (len(small) + len(large) - shared):
+                            take(a, b)
+        return found
+    everyone = np.arange(len(sets))
+    side = everyone if one else np.flatnonzero(block == block.min())
+    other = everyone if one else np.flatnonzero(block != block.min())
+    for at in range(0, len(side), 128):
+        rows = side[at : at + 128]
+        shared = _overlaps(sets, rows, other)
+        linked = 100 * shared >= threshold * (size[rows][:, None] + size[other][None, :] - shared)
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            take(int(rows[a]), int(other[b]))
+    return found
+
+
+def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in column]
+
+
 def confirmed(kept: DataFrame, threshold: int) -> DataFrame:
     """Edges (source, target) of a spanning forest of the exact links in each pair of blocks."""
     schema = pa.schema([("source", pa.int64()), ("target", pa.int64())])
 
-    def links(rep: list[int], sets: list[np.ndarray], block: np.ndarray, one: bool) -> list[tuple[int, int]]:
-        found, forest = [], _Forest()
-        size = np.array([len(s) for s in sets])
-
-        def take(a: int, b: int) -> None:
-            if rep[a] != rep[b] and forest.join(rep[a], rep[b]):
-                found.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
-
-        if len(sets) <= 8:
-            for a in range(len(sets)):
-                for b in range(a + 1, len(sets)):
-                    if (one or block[a] != block[b]) and rep[a] != rep[b]:
-                        small, large = sorted((sets[a], sets[b]), key=len)
-                        if 100 * len(small) >= threshold * len(large) and forest.root(rep[a]) != forest.root(rep[b]):
-                            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                            shared = int((large[at] == small).sum())
-                            if 100 * shared >= threshold * (len(small) + len(large) - shared):
-                                take(a, b)
-            return found
-        everyone = np.arange(len(sets))
-        side = everyone if one else np.flatnonzero(block == block.min())
-        other = everyone if one else np.flatnonzero(block != block.min())
-        for at in range(0, len(side), 128):
-            rows = side[at : at + 128]
-            shared = _overlaps(sets, rows, other)
-            linked = 100 * shared >= threshold * (size[rows][:, None] + size[other][None, :] - shared)
-            for a, b in zip(*np.nonzero(linked), strict=True):
-                take(int(rows[a]), int(other[b]))
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _in_groups(batches, KEYS):
             table = table.combine_chunks()
-            rep, block, p, q = (table[c].to_numpy() for c in ("rep", "block", "p", "q"))
+            rep, comp, block, p, q = (table[c].to_numpy() for c in ("rep", "comp", "block", "p", "q"))
             spans, found = _spans(table, KEYS), []
             for lo, hi in zip(spans[:-1], spans[1:], strict=True):
-                sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in table["shingles"].slice(lo, hi - lo)]
-                found += links(rep[lo:hi].tolist(), sets, block[lo:hi], p[lo] == q[lo])
+                sets = _sets_of(table["shingles"].slice(lo, hi - lo))
+                found += _links(rep[lo:hi].tolist(), comp[lo:hi].tolist(), sets, block[lo:hi], p[lo] == q[lo], threshold, _Forest())
             if found:
                 yield common.batch_of(schema, list(map(list, zip(*found, strict=True))))
 
     return kept.mapInArrow(run, "source long, target long")
 
 
+LINK, MERGED = 0, 1
+
+
+def linked_blocks(heads: DataFrame, cut: float, threshold: int) -> DataFrame:
+    """Rows (kind, a, b) from blocks of classes: exact links between groups, and each group's new name."""
+    keys = ["band", "key", "block"]
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _in_groups(batches, keys):
+            table = table.combine_chunks()
+            spans, rows = _spans(table, keys), []
+            for lo, hi in zip(spans[:-1], spans[1:], strict=True):
+                part = table.slice(lo, hi - lo)
+                rep, comp, n = (part[c].to_numpy() for c in ("rep", "comp", "n_shingles"))
+                bits = np.frombuffer(b"".join(part["bits"].to_pylist()), dtype="<u8").reshape(-1, 8)
+                near = np.zeros(hi - lo, dtype=bool)
+                i, j = np.triu_indices(hi - lo, 1)
+                for at in range(0, len(i), PAIRS_AT_ONCE):
+                    a, b = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+                    good = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
+                    a, b = a[good], b[good]
+                    good = estimate(bits[a], bits[b]) >= cut
+                    near[a[good]] = True
+                    near[b[good]] = True
+                at = np.flatnonzero(near)
+                if len(at):
+                    forest = _Forest()
+                    rows += [(LINK, a, b) for a, b in _links(rep[at].tolist(), comp[at].tolist(), _sets_of(part["shingles"].take(pa.array(at))), at, True, threshold, forest)]
+                    rows += [(MERGED, c, forest.root(c)) for c in set(comp[at].tolist()) if forest.root(c) != c]
+            if rows:
+                yield common.batch_of(schema, list(map(list, zip(*rows, strict=True))))
+
+    return heads.mapInArrow(run, "kind tinyint, a long, b long")
+
+
+def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], cut: float, threshold: int, partitions: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, comp) of the classes of crowded buckets, and the links that made the groups.
+
+    At first every class counts in one bucket, so a group lies in one bucket too and its rows,
+    dealt by the group's name, meet in one block: names need no components to be worked out.
+    Then groups of ``MEMBERS`` classes or more, which are few, meet in all crowded buckets.
+    """
+    hot = placed.where(F.col("blocks") > 1)
+    top = F.max(F.struct("count", (-F.col("band")).alias("back"), "key")).alias("top")
+    own = hot.groupBy("rep").agg(top).select("rep", (-F.col("top.back")).alias("band"), F.col("top.key").alias("key"), F.col("rep").alias("comp"))
+    own, before = write_counted(own, "crowded")
+    links: list[DataFrame] = []
+
+    def round_of(members: DataFrame, turn: int) -> tuple[DataFrame | None, int]:
+        """Heads of the groups of each bucket, linked in blocks; None where there is nothing to link."""
+        few = Window.partitionBy("band", "key", "comp").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+        heads = members if turn == 0 else members.withColumn("n", F.row_number().over(few)).where(F.col("n") <= HEADS).drop("n")
+        rows_of = heads.groupBy("band", "key").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        dealt = heads.join(rows_of, ["band", "key"]).select("band", "key", "rep", "comp", F.pmod(F.xxhash64("comp", F.lit(turn)), F.ceil(F.col("rows") / BLOCK)).cast("int").alias("block"))
+        dealt, n = write_counted(dealt, "heads")
+        if not n or turn and n > 0.9 * before:
+            return None, n
+        full = dealt.join(classes.select("rep", "n_shingles", "bits"), "rep").join(sets_of(dealt.select("rep")), "rep")
+        told = write_table(linked_blocks(grouped(full, ["band", "key", "block"], partitions), cut, threshold), "contracted")
+        links.append(told.where(F.col("kind") == LINK).select(F.col("a").alias("source"), F.col("b").alias("target")))
+        return told.where(F.col("kind") == MERGED).select(F.col("a").alias("comp"), F.col("b").alias("name")), n
+
+    for turn in range(CONTRACTIONS):
+        names, before = round_of(own, turn)
+        if names is None:
+            break
+        own = write_table(own.join(names, "comp", "left").select("rep", "band", "key", F.coalesce("name", "comp").alias("comp")), "crowded")
+    groups, before = own.select("rep", "comp"), 1 << 62
+    for turn in range(1, CONTRACTIONS):
+        large = groups.groupBy("comp").count().where(F.col("count") >= MEMBERS).select("comp")
+        names, before = round_of(hot.select("band", "key", "rep").join(groups.join(large, "comp"), "rep"), turn)
+        if names is None or names.isEmpty():
+            break
+        merged = connected_components(names, "comp", "name").select(F.col("node").alias("comp"), F.col("component").alias("name"))
+        groups = write_table(groups.join(merged, "comp", "left").select("rep", F.coalesce("name", "comp").alias("comp")), "crowded")
+    return groups, links
+
+
+def left_to_compare(placed: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(band, key, p, q, block, rep, comp): the pairs of blocks of each bucket in which groups still differ."""
+    if groups is None:
+        return placed.select("band", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("block"), "rep", F.col("rep").alias("comp"))
+    named = write_table(placed.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
+    shares = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    # a small bucket has no largest group of its own: all its classes meet in one block
+    small = F.col("all") <= BLOCK
+    outside = F.when(small, F.col("all")).otherwise(F.col("all") - F.col("top.n"))
+    cut = largest.select("band", "key", F.when(~small, F.col("top.comp")).alias("main"), F.ceil(outside / BLOCK).cast("int").alias("a"), F.when(small, 0).otherwise(F.ceil(F.col("top.n") / BLOCK)).cast("int").alias("g"))
+    inside = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    spread = F.xxhash64("rep")
+    dealt = named.join(cut, ["band", "key"]).withColumn("inside", inside).withColumn("block", F.when(F.col("inside"), F.col("a") + F.pmod(spread, F.greatest("g", F.lit(1)))).otherwise(F.pmod(spread, "a")).cast("int"))
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("a") - 1)).otherwise(F.sequence(F.lit(0), F.col("a") + F.col("g") - 1))
+    twice = dealt.withColumn("other", F.explode(others))
+    return twice.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "comp")
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and its whole set of shingle hashes as little-endian uint64."""
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
@@ -322,8 +437,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     Two documents are linked if 100 * |A & B| >= threshold * |A | B| (``threshold`` of 80 or
     more).  A null, empty or blank text has an empty set, links with nothing and is kept; so
     is a row without a doc_id, whose component is null.  Rows that share a doc_id are one
-    document for links, each with its own n_shingles.  Equal sets are one class.  An empty
-    table gives an empty result; extra columns are not read.
+    document for links, each with its own n_shingles.  Equal sets are one class.  A text of any
+    length is shingled whole.  Links at the threshold itself count, and a group's name is its
+    smallest doc_id, so there are no ties.  An empty table gives an empty result; extra
+    columns are not read.
     """
     if threshold < 80:
         raise ValueError("bands are laid out for thresholds of 80 and more")
@@ -334,15 +451,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     reps = write_table(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     classes = filled.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bits", "bands")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("band", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    placed = banded.join(crowded, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    twice = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = twice.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep")
-    buckets = paired.join(classes, "rep")
+    crowded = banded.groupBy("band", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    placed, seen = write_observed(banded.join(crowded, ["band", "key"]), "placed", blocks=F.max("blocks"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return shingle_sets(docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+
+    groups, made = contracted(placed, classes, sets_of, cut, threshold, partitions) if (seen["blocks"] or 0) > 1 else (None, [])
+    buckets = left_to_compare(placed, groups).join(classes, "rep")
     kept = write_table(likely(grouped(buckets, KEYS, partitions), cut, threshold), "likely")
-    wanted = kept.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words)
-    links = confirmed(grouped(kept.join(sets, "rep"), KEYS, partitions), threshold)
+    links = confirmed(grouped(kept.join(sets_of(kept), "rep"), KEYS, partitions), threshold)
+    for more in made:
+        links = links.unionByName(more)
     repeated = filled.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same_id = filled.join(repeated, "doc_id", "left_semi").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("source"), F.col("rep").alias("target"))
     groups = connected_components(write_table(links.unionByName(same_id).distinct(), "links"))
@@ -352,7 +472,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which one per group stays, with their own columns."""
+    """The documents of which one per group stays, with their own columns.
+
+    Of a group the row of the smallest doc_id stays, and rows that repeat this id stay with it;
+    null, empty and blank texts and rows without a doc_id stay; an empty table stays empty.
+    """
     drop = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 

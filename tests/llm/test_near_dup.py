@@ -73,6 +73,45 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
 
 
+def near_copies(n, seed=9, words=150, changes=3):
+    rng = random.Random(seed)
+    base = prose(rng, words).split()
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, changes)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
+        yield i, " ".join(copy)
+
+
+def test_rows_of_a_large_group_grow_with_its_copies(spark, monkeypatch):
+    """A group of m near copies is contracted: the rows that are dealt grow like m, not like its square."""
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    whole, dealt = near_dup.grouped, []
+    monkeypatch.setattr(near_dup, "grouped", lambda df, keys, n: dealt.append(df.count()) or whole(df, keys, n))
+    sums = []
+    for m in (200, 800):
+        dealt.clear()
+        rows = list(near_copies(m, words=400))
+        got = near_dup.near_duplicates(frame(spark, [(i, t, "en") for i, t in rows])).collect()
+        if m == 200:
+            assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+        assert {r["component_id"] for r in got} == {0}
+        sums.append(sum(dealt))
+    assert sums[1] < 6 * sums[0]
+
+
+def test_crowded_buckets_of_texts_that_are_not_linked(spark, monkeypatch):
+    """Classes that share bands but few links, with chains and pairs among them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(4)
+    passage = prose(rng, 100)
+    rows = [(i, passage + " " + prose(rng, 30, f"q{i}")) for i in range(60)]
+    rows += [(100 + i, t + (" and more" if i % 2 else "")) for i, (_, t) in enumerate(rows[::6])]
+    rows += [(200 + i, t) for i, t in near_copies(40, changes=8)]
+    got = near_dup.near_duplicates(frame(spark, [(i, t, "en") for i, t in rows]), threshold=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 80)
+
+
 def test_odd_rows(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in near_dup.near_duplicates(tricky(spark)).collect()}
     assert got[1] == (0, 1, True) and got[2] == (0, 2, True) and got[3] == (0, 3, True)
