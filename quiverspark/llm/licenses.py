@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup.
 
-A whole text is brought to a canonical form (case, copyright lines, equivalent spellings,
-punctuation and white space no longer tell texts apart) and hashed; digests are joined with
+A whole text is brought to a canonical form (case, copyright lines, a title line, list marks,
+equivalent spellings, punctuation and white space no longer tell texts apart) and hashed, so
+that it does not matter how its lines are wrapped; digests are joined with
 those of known licenses.  Everything is built-in column functions, so the scan stays inside
 the JVM, and only the table of known digests, which is written down here, is broadcast.
 """
@@ -48,6 +49,26 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
 #: Whole texts of known licenses and of one-line notices, by SPDX identifier.
 KNOWN = [
     ("MIT", "MIT License\n\n" + _MIT_GRANT),
@@ -57,6 +78,9 @@ KNOWN = [
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST),
+    ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Licensed under the MIT License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -66,41 +90,46 @@ KNOWN = [
 #: Canonical digests of longer licenses, of the whole text as it is commonly handed out.  The SQL
 #: is made from the texts in ``KNOWN`` alone and has no license for these.
 KNOWN_DIGESTS = [
-    ("Apache-2.0", "3bdc79006a448b12272ff3c7e89ba879b458f7f1d9c6bc3900e9f1dc91d1a01c"),
-    ("Apache-2.0", "dd600d12c2ca392abed11390ce57de5e82e080eafbbef49fcc6a127eba236ac1"),  # up to the end of its terms
-    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
-    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
-    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", "39aef436e498ff2cd3e7afa6ef5a4b212c88d4a431fc422d0c8c38a5415879c5"),
-    ("GFDL-1.3-only", "a5fce881e0e279041af062ab70bdfe559698bd3c47bc84530c3442b8767c44ff"),
-    ("GPL-1.0-only", "490a17f9c44b8e7737e6d5b52eebf4c3610f67ee98c4ad515329fa012eebe42d"),
-    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),  # up to the end of its terms
-    ("GPL-2.0-only", "b45f95d8277a4c920f37dd2e6bd0bfe7a28fc0622b3328e8a50b73e64eb55b33"),
-    ("GPL-2.0-only", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),  # up to the end of its terms
-    ("GPL-3.0-only", "5dc82c730fd0de0215fbbe3c6d909b3cba71b55d5d23618340f2222474bb6dc2"),
-    ("GPL-3.0-only", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),  # up to the end of its terms
-    ("LGPL-2.0-only", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
-    ("LGPL-2.0-only", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),  # up to the end of its terms
-    ("LGPL-2.1-only", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
-    ("LGPL-2.1-only", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),  # up to the end of its terms
-    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "4fb982bbe74d62c2b31513d063e1ce4d8ded3a267038b96b829c69c1e3d7b7d0"),
-    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("Apache-2.0", "bfc7ccc84963d2921d97f673bf3aa53f6fea3d7d32f55c76b8f8e2144a3beafa"),
+    ("Apache-2.0", "27f5107a6c13df5a0b3d7c0dacd51b5837fbf11f02b6292c8dfa7b3aa8392baf"),  # up to the end of its terms
+    ("Artistic-1.0-Perl", "0ecc5f2bb1619d7f534b973d4f7e7e273fd28db4a64d1a15500263f487ef1e05"),
+    ("BSD-3-Clause", "d0a339eb5454123c6a1f2696aace557e0561866f3fe33b93ffad58ecfcab7060"),
+    ("CC0-1.0", "7f86e48c814c9321828512eeba2f465aef6a5ec1ca1dd3b9a18ca79ca9e8b7d1"),
+    ("GFDL-1.2-only", "ff2b727e398536837fe045aab8a02dc68930815378e2ce051c3d79b2e1950630"),
+    ("GFDL-1.3-only", "f6ebeaedc622f855080ac62a6b58540d7ea5c4debf94ef5b8406ae58c3b34598"),
+    ("GPL-1.0-only", "29cd611b10bf55acc87b2214e4d6f4ec3a4bbc22f600789b6f704bbda155e8bb"),
+    ("GPL-1.0-only", "e7d0184665046b7b6606aab95cb6321a497aa126fb7c18b302fd1efb9312e27f"),  # up to the end of its terms
+    ("GPL-2.0-only", "25f78eb476ba5a20ef4bab572e988363b3b51925131c8480ba0c51b0221f1d6f"),
+    ("GPL-2.0-only", "6e9f5379fb7ac3f4152d736ab379fb0771e25eedbc4cead5966bce1f6cb65366"),  # up to the end of its terms
+    ("GPL-3.0-only", "3621bb7794807eaf5b073f7ed2f796289b33bb9e11490f057ca9ee488b23c6b2"),
+    ("GPL-3.0-only", "f18f163fb9050e54dcbfca53a2e880c205d19b8a2f1b99a84ad0c5b75813a64c"),  # up to the end of its terms
+    ("LGPL-2.0-only", "41e812bc7f7e722920e0118340d2470ee1009174cbf9f2baa962556c286575ed"),
+    ("LGPL-2.0-only", "66849d83aff839fcf244074fbddaa3c5722fb679c72f20e6faa827c08a64c947"),  # up to the end of its terms
+    ("LGPL-2.1-only", "7e125e82dd44641085c9a5d4eef7e13ed3262cc816b38d8318eed4a5fe112fbb"),
+    ("LGPL-2.1-only", "1a0a1112b88b9898ddf983e67cd138cc7a3d4cbb03867db7cfd72c91f8fa9a66"),  # up to the end of its terms
+    ("LGPL-3.0-only", "b7bbb44d2a8bc8c636959d54f6ca4e3fcc8711761e34f5bddf0e7f71b8606ac6"),
+    ("MPL-1.1", "e96f12584dbbeedf135d5ae7b7ee1d468f4011780f1ee0ecffbdbb597e9b13c0"),
+    ("MPL-2.0", "93105b1dd2996449be896bd95a75cadf047d21c8a3f4c6675ac049d36af60c66"),
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|all rights reserved)[^\n]*"
+#: A line that names an owner: by a year or the sign, which has become the word.  A line of the body that a
+#: wrap lets begin with "copyright holders" is none.
+_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]+copyright|copyright[^\n]*[12][0-9][0-9][0-9]|all rights reserved)[^\n]*"
+#: A word that a wrap has cut at its hyphen, a title above a blank line, and numbers or letters of lists.
+_CUT_WORD = r"-[ \t]*\r?\n[ \t]*"
+_TITLE_LINE = r"^[ \t\r\n]*[^\n]{0,50}license([ .,()0-9\"'-][^\n]{0,40})?\r?\n[ \t]*\r?\n"
+_LIST_MARK = r"\b[0-9][0-9]?[.)][ \t\r\n]+|\([0-9a-z][0-9a-z]?\)"
 _NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f‘’“”–— ]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _CUT_WORD, "-")
     for spelling, same in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(same))
-    # twice, as neighbouring copyright lines share the line feed between them
-    for _ in range(2):
-        out = F.regexp_replace(out, _COPYRIGHT_LINE, "\n")
+    for pattern in (_COPYRIGHT_LINE, _TITLE_LINE, _LIST_MARK):
+        out = F.regexp_replace(out, pattern, "\n")
     return F.trim(F.regexp_replace(out, _NOT_WORD, " "))
 
 
@@ -121,8 +150,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest of the canonical text, and license_id (null if the text is no known license).
 
     A null, empty or all-punctuation text has the digest of the empty text and no license; a
-    null doc_id stays null; repeated rows are scanned alike; extra columns are not read; an
-    empty table gives no rows.  ``known`` of one's own is joined by a shuffle on the digest
+    text of any length is hashed whole; of several licenses with one digest the smallest name
+    is given; a null doc_id stays null; repeated rows are scanned alike; extra columns are not
+    read; an empty table gives no rows.  ``known`` of one's own is joined by a shuffle on the digest
     unless Spark finds it small; the built-in table is broadcast.
     """
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
@@ -140,13 +170,12 @@ def _sql_text(s: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
+    out = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), {_sql_text(_CUT_WORD)}, '-', 'g')"
     for spelling, same in SPELLINGS:
         out = f"replace({out}, {_sql_text(spelling)}, {_sql_text(same)})"
-    for _ in range(2):
-        out = f"regexp_replace({out}, {_sql_text(_COPYRIGHT_LINE)}, chr(10), 'g')"
-    marks = _NOT_WORD.replace("\\u2018\\u2019\\u201c\\u201d\\u2013\\u2014\\u00a0", "\\x{2018}\\x{2019}\\x{201c}\\x{201d}\\x{2013}\\x{2014}\\x{00a0}")
-    return f"trim(regexp_replace({out}, {_sql_text(marks)}, ' ', 'g'))"
+    for pattern in (_COPYRIGHT_LINE, _TITLE_LINE, _LIST_MARK):
+        out = f"regexp_replace({out}, {_sql_text(pattern)}, chr(10), 'g')"
+    return f"trim(regexp_replace({out}, {_sql_text(_NOT_WORD)}, ' ', 'g'))"
 
 
 OP7_SQL = (

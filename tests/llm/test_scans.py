@@ -130,6 +130,21 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(tricky(spark)).count() == 9
 
 
+def test_licenses_at_every_wrap(spark):
+    import textwrap
+
+    heads = ["", "The {} License\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n", "Copyright 1999-2003, The Authors\n\n"]
+    rows, wanted = [], {}
+    for name, text in licenses.KNOWN:
+        for width in range(60, 101) if len(text) > 200 and not text.startswith("MIT License") else ():
+            for head in heads:
+                wanted[len(rows)] = name
+                body = "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in text.split("\n\n"))
+                rows.append((len(rows), head.format(name) + body.replace("1. ", "* ").replace("2. ", "(b) "), "en"))
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert len(got) > 1000 and {i for i in got if got[i] != wanted[i]} == set()
+
+
 def test_long_licenses(spark):
     files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
     folder = Path("/usr/share/common-licenses")
