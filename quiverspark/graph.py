@@ -22,7 +22,7 @@ class Graph:
     ``nodes``, ``edges`` and ``vectors`` follow the schemas of ``quiverspark.model``.
     ``adjacency``, ``sketch`` and ``props`` are derived where they are not given; a stored
     graph brings them along, the adjacency bucketed by node, the properties flat and sorted
-    by key and value.
+    by key and value.  ``logged`` are the elements (kind, id) that transactions put since the base.
     """
 
     nodes: DataFrame
@@ -34,6 +34,8 @@ class Graph:
     sketch_table: DataFrame | None = None
     props_table: DataFrame | None = None
     transactions: int = 0
+    logged: DataFrame | None = None
+    buckets: int | None = None
     counts: dict[str, Any] = field(default_factory=dict)
 
     @property
@@ -70,13 +72,16 @@ class Graph:
         return frame.select(F.lit(target[0]).cast("tinyint").alias("kind"), "id", "label", "props")
 
     def count(self, name: str) -> Any:
-        """Counts that planners need, taken once per handle: by label for ``nodes``, ``edges`` and ``vectors``."""
+        """Counts that planners need, taken once per handle: by label for ``nodes`` and ``edges``; vectors and
+        their owners by kind for ``vectors``, by kind and label for ``labelled``."""
         if name not in self.counts:
             if name in ("nodes", "edges"):
                 frame = self.nodes if name == "nodes" else self.edges
                 self.counts[name] = {r[0]: r[1] for r in frame.groupBy("label").count().collect()}
-            else:
-                self.counts[name] = {r[0]: (r[1], r[2]) for r in self.vectors.groupBy("kind").agg(F.count("*"), F.countDistinct("id")).collect()}
+            else:  # an element has one label, so owners by label add up
+                rows = self.vectors.groupBy("kind", "label").agg(F.count("*"), F.countDistinct("id")).collect()
+                self.counts["labelled"] = {(r[0], r[1]): (r[2], r[3]) for r in rows}
+                self.counts["vectors"] = {k: (sum(r[2] for r in rows if r[0] == k), sum(r[3] for r in rows if r[0] == k)) for k in {r[0] for r in rows}}
         return self.counts[name]
 
     @property

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiverspark.graph import Graph
 from quiverspark.operators import filters
 from quiverspark.operators.components import connected_components
-from quiverspark.plans.workspace import drop_table, partitions_for, write_bucketed, write_counted, write_table
+from quiverspark.plans.workspace import Seen, drop_table, partitions_for, write_bucketed, write_counted, write_observed, write_table
 
 UNREACHABLE = (1 << 63) - 1
 DAMPING, ITERATIONS = 0.85, 10
@@ -18,17 +18,16 @@ def bfs(graph: Graph, source: int, max_depth: int | None = None) -> DataFrame:
     """(node, distance) along outgoing edges; null where the source does not reach."""
     filters.require_nodes(graph, [source])
     out = filters.steps(graph, "out").select("node", "neighbor")
-    layers = [write_table(graph.spark.createDataFrame([(source, 0)], "node bigint, distance bigint"), "layer")]
-    seen, depth = layers[0], 0
+    frontier = write_table(graph.spark.createDataFrame([(source, 0)], "node bigint, distance bigint"), "layer")
+    seen, depth = Seen(frontier), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        fresh = out.join(layers[-1].select("node"), "node", "left_semi").select(F.col("neighbor").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        fresh, n = write_counted(fresh.withColumn("distance", F.lit(depth).cast("bigint")), "layer")
+        fresh = out.join(frontier.select("node"), "node", "left_semi").select(F.col("neighbor").alias("node")).distinct().join(seen.frame.select("node"), "node", "left_anti")
+        frontier, n = write_counted(fresh.withColumn("distance", F.lit(depth).cast("bigint")), "layer")
         if not n:
             break
-        layers.append(fresh)
-        seen = seen.unionByName(fresh)
-    return graph.nodes.select(F.col("id").alias("node")).join(seen, "node", "left")
+        seen.add(frontier)
+    return graph.nodes.select(F.col("id").alias("node")).join(seen.frame, "node", "left")
 
 
 def wcc(graph: Graph) -> DataFrame:
@@ -51,13 +50,14 @@ def pagerank(graph: Graph, damping: float = DAMPING, iterations: int = ITERATION
     out = graph.edges.groupBy("source").agg(F.count("*").alias("out"))
     shares = pairs.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share"))
     links, table = write_bucketed(shares, "links", "source", partitions_for(graph.edges))
-    ranks = write_table(nodes.join(out.withColumnRenamed("source", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
+    lost = F.sum(F.when(F.col("dangling"), F.col("rank")))  # taken while a round's ranks are written
+    first = nodes.join(out.withColumnRenamed("source", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    ranks, seen = write_observed(first, "ranks", lost=lost)
     for _ in range(iterations):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
-        base = (1 - damping) / n + damping * lost / n
+        base = (1 - damping) / n + damping * (seen["lost"] or 0.0) / n
         sums = links.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         fresh = ranks.select("node", "dangling").join(sums, "node", "left").select("node", "dangling", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        fresh = write_table(fresh, "ranks")
+        fresh, seen = write_observed(fresh, "ranks", lost=lost)
         drop_table(ranks)
         ranks = fresh
     drop_table(links)

@@ -17,6 +17,7 @@ from quiverspark import model
 from quiverspark.graph import Graph
 from quiverspark.model import BOTH, BOTH_KINDS, FLOAT, IN, INT, NODE, OUT, InvalidArgument, NotFound
 from quiverspark.plans import planner
+from quiverspark.plans.workspace import write_counted
 
 # --- point reads -------------------------------------------------------------------------
 
@@ -89,15 +90,20 @@ def visit_neighbors(graph: Graph, identifier: int, direction: str = BOTH, label:
     return found.orderBy("direction", "edge").select("neighbor", "edge")
 
 
+FEW_IDS = 1000
+
+
 def neighbors(graph: Graph, identifier: int, direction: str = BOTH, label: str | None = None) -> DataFrame:
-    """Edges at a node, out-edges first, each once."""
+    """Edges at a node, out-edges first, each once.
+
+    The adjacency, of which one bucket is read, names the edges; up to ``FEW_IDS`` of them
+    are pushed to the files of the edges as a list, more are joined.
+    """
     require_nodes(graph, [identifier])
-    at = F.col("source") == identifier, F.col("target") == identifier
-    wanted = {OUT: at[0], IN: at[1], BOTH: at[0] | at[1]}[direction]
-    found = graph.edges.where(wanted)
-    if label is not None:
-        found = found.where(F.col("label") == label)
-    return found.orderBy("id") if direction == IN else found.orderBy(F.when(at[0], 0).otherwise(1), "id")
+    met = steps(graph, direction, label).where(F.col("node") == identifier).select(F.col("edge").alias("id"))
+    few = [r[0] for r in met.limit(FEW_IDS + 1).collect()]
+    found = graph.edges.where(F.col("id").isin(few)) if len(few) <= FEW_IDS else graph.edges.join(met, "id", "left_semi")
+    return found.orderBy("id") if direction == IN else found.orderBy(F.when(F.col("source") == identifier, 0).otherwise(1), "id")
 
 
 def degrees(graph: Graph, direction: str = BOTH) -> DataFrame:
@@ -203,19 +209,68 @@ def elements_in_range(graph: Graph, wanted: Range, target: tuple[int, ...] = BOT
     return _flat(graph, target, wanted.label, wanted.key).where(wanted.condition(_value())).select("kind", "id")
 
 
+@dataclass(frozen=True)
+class Predicate:
+    """One condition on one key of the flat table: an equality of a filter, or a range."""
+
+    key: str
+    condition: Column
+    label: str | None
+
+
+def _predicates(equality: ElementFilter | None, ranges: Sequence[Range]) -> list[Predicate]:
+    equal = [] if equality is None else [Predicate(k, model.equals(_value(), v), equality.label) for k, v in equality.properties]
+    return equal + [Predicate(r.key, r.condition(_value()), r.label) for r in ranges]
+
+
 def elements_satisfying(graph: Graph, equality: ElementFilter | None, ranges: Sequence[Range], target: tuple[int, ...] = BOTH_KINDS) -> DataFrame:
     """Elements that pass an equality filter and all ranges."""
-    sets = [elements_in_range(graph, r, target) for r in ranges]
-    return _all_of(([] if equality is None else equality.sets(graph, target)) + sets)
+    return narrowed(graph, equality, ranges, target)[0]
+
+
+def bounds_of(graph: Graph, predicates: Sequence[Predicate], target: tuple[int, ...]) -> list[int]:
+    """How many elements satisfy each predicate, in one pass over the rows of their keys."""
+    if not predicates:
+        return []
+    found = graph.props.where(F.col("key").isin(sorted({p.key for p in predicates})))
+    found = found if target == BOTH_KINDS else found.where(F.col("kind") == target[0])
+    return list(found.agg(*[F.count_if((F.col("key") == p.key) & p.condition).alias(f"p{i}") for i, p in enumerate(predicates)]).first())
+
+
+#: Elements of a set up to which it is broadcast: two numbers each.
+BROADCAST_ELEMENTS = 1 << 20
+
+
+def narrowed(graph: Graph, equality: ElementFilter | None, ranges: Sequence[Range], target: tuple[int, ...] = BOTH_KINDS) -> tuple[DataFrame, list[int], list[int]]:
+    """Elements that pass an equality filter and all ranges, with the bounds of the predicates and the sizes
+    that were left after each.
+
+    The predicate with the smallest bound is evaluated first and written with its size; each
+    other one is asked of what is left, and nothing more is read once nothing is left.
+    """
+    predicates = _predicates(equality, ranges)
+    bounds = bounds_of(graph, predicates, target)
+    left, sizes_left = None, []
+    for i in sorted(range(len(predicates)), key=lambda i: (bounds[i], i)):
+        p = predicates[i]
+        found = _flat(graph, target, p.label, p.key).where(p.condition).select("kind", "id")
+        if left is not None:
+            small = F.broadcast(left) if sizes_left[-1] <= BROADCAST_ELEMENTS else left
+            found = found.join(small, SET, "left_semi")
+        left, n = write_counted(found, "candidates")
+        sizes_left.append(n)
+        if not n:
+            break
+    if equality is not None and not equality.properties and (left is None or sizes_left[-1]):
+        alike = equality.sets(graph, target)[0]
+        left, n = write_counted(alike if left is None else alike.join(F.broadcast(left) if sizes_left[-1] <= BROADCAST_ELEMENTS else left, SET, "left_semi"), "candidates")
+        sizes_left.append(n)
+    return left, bounds, sizes_left
 
 
 def predicate_counts(graph: Graph, wanted: ElementFilter, target: tuple[int, ...]) -> list[int]:
     """How many elements satisfy each property predicate alone, in one pass."""
-    if not wanted.properties:
-        return []
-    each = [F.count_if((F.col("key") == k) & model.equals(_value(), v)).alias(f"p{i}") for i, (k, v) in enumerate(wanted.properties)]
-    found = graph.props.where(F.col("key").isin([k for k, _ in wanted.properties]))
-    return list((found if target == BOTH_KINDS else found.where(F.col("kind") == target[0])).agg(*each).first())
+    return bounds_of(graph, [Predicate(p.key, p.condition, None) for p in _predicates(wanted, ())], target)
 
 
 def element_filter_plan(graph: Graph, wanted: ElementFilter, target: tuple[int, ...] = BOTH_KINDS) -> planner.FilterPlan:

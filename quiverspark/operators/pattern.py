@@ -72,9 +72,27 @@ def _only(frame: DataFrame, graph: Graph, column: str, wanted: ElementFilter) ->
     return frame.join(graph.nodes.where(wanted.condition()).select(F.col("id").alias(column)), column, "left_semi")
 
 
-def matches(graph: Graph, query: OneHop) -> DataFrame:
-    """All matches of a pattern: start, edge, end."""
-    return _only(_only(_oriented(graph, query), graph, "start", query.start), graph, "end", query.end).select("start", "edge", "end")
+def _from_end(graph: Graph, query: OneHop, at: str) -> DataFrame:
+    """(start, edge, end) by walking the adjacency from the nodes of the filter at one end."""
+    wanted = query.start if at == "start" else query.end
+    nodes = graph.nodes.where(wanted.condition()).select(F.col("id").alias("node"))
+    direction = query.direction if at == "start" else {OUT: IN, IN: OUT, BOTH: BOTH}[query.direction]
+    met = steps(graph, direction, query.edge_label).join(nodes, "node", "left_semi")
+    other = "end" if at == "start" else "start"
+    return met.select(F.col("node").alias(at), "edge", F.col("neighbor").alias(other))
+
+
+def matches(graph: Graph, query: OneHop, chosen: planner.OneHopPlan | None = None) -> DataFrame:
+    """All matches of a pattern: start, edge, end, in the way of the plan.
+
+    From a selective end the walk goes over the adjacency, which is bucketed by node, so only
+    that end's nodes are shuffled; otherwise the edges are scanned once.
+    """
+    chosen = plan(graph, query) if chosen is None else chosen
+    if chosen.strategy == "edge_scan":
+        return _only(_only(_oriented(graph, query), graph, "start", query.start), graph, "end", query.end).select("start", "edge", "end")
+    at, other, wanted = ("start", "end", query.end) if chosen.strategy == "start_adjacency" else ("end", "start", query.start)
+    return _only(_from_end(graph, query, at), graph, other, wanted).select("start", "edge", "end")
 
 
 def match_one_hop(graph: Graph, query: OneHop) -> DataFrame:

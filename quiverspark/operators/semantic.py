@@ -1,10 +1,11 @@
 """Best-first semantic expansion.
 
 A score may rise along a path, so the result depends on the order in which states are taken
-and no layer-wise relaxation gives it.  Spark gathers the bounded neighbourhood of the seeds
-(element scores and degrees of what lies within ``max_hops``), and one exact heap per query
-runs over it in a task of its own.  The number of edges gathered is checked against a
-documented bound first, as it grows with hubs.
+and no layer-wise relaxation gives it.  Spark scores the neighbourhood of the seeds (elements
+and degrees of what lies within ``max_hops``) and counts its steps.  Up to ``gathered_edges``
+one exact heap runs over them in a task of its own.  Beyond it the same heap runs on the
+driver, and the steps of nodes are fetched from the written table, sorted by node, for the
+best of the heap at a time: ``max_expansions`` bounds the nodes whose steps are ever held.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from quiverspark.graph import Graph
 from quiverspark.model import BOTH, EDGE, NODE, NODES, InvalidArgument
 from quiverspark.operators import filters, sketch, traverse, vectors
 from quiverspark.operators.filters import steps
-from quiverspark.plans.workspace import write_counted, write_table
+from quiverspark.plans.workspace import partitions_for, write_counted, write_table
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class SemanticPathOptions:
     hop_penalty: float = 0.92
     degree_penalty: float = 0.04
     include_seeds: bool = False
-    gathered_edges: int = 5_000_000  # an error beyond: one task holds them
+    gathered_edges: int = 5_000_000  # steps that one task may hold; beyond, they are fetched as they are needed
 
     def check(self) -> None:
         if self.seed_count == 0:
@@ -57,8 +58,28 @@ class SemanticPathOptions:
 PATH_DDL = "seed bigint, node bigint, score double, seed_score double, path array<bigint>"
 
 
-def best_first(seeds: list[tuple[int, float]], moves: dict[int, list[tuple[int, int, float, float, int]]], o: SemanticPathOptions) -> list[tuple]:
-    """The expansion itself.  ``moves``: (neighbor, edge, node score, edge score, degree) by node."""
+FETCHED_AT_ONCE = 500
+
+
+class Fetched:
+    """Steps by node, read from a written table for several nodes at once."""
+
+    def __init__(self, moves: DataFrame):
+        self.moves, self.held = moves, {}
+
+    def wanted(self, node: int, heap: list[tuple], max_hops: int) -> list:
+        """A node's steps; with them come those of the best nodes that the heap holds."""
+        if node not in self.held:
+            near = [entry[1] for entry in heapq.nsmallest(4 * FETCHED_AT_ONCE, heap) if len(entry[5]) < max_hops]
+            nodes = list(dict.fromkeys([node, *[n for n in near if n not in self.held]]))[:FETCHED_AT_ONCE]
+            self.held.update({n: [] for n in nodes})
+            for r in self.moves.where(F.col("node").isin(nodes)).orderBy("node", "direction", "edge").toLocalIterator():
+                self.held[r["node"]].append((r["neighbor"], r["edge"], r["neighbor_score"], r["edge_score"], r["degree"]))
+        return self.held.pop(node)
+
+
+def best_first(seeds: list[tuple[int, float]], moves: dict[int, list[tuple[int, int, float, float, int]]] | Fetched, o: SemanticPathOptions) -> list[tuple]:
+    """The expansion itself.  ``moves``: (neighbor, edge, node score, edge score, degree) by node, out-edges first."""
     heap: list[tuple] = []
     best: dict[int, float] = {}
     result: dict[int, tuple] = {}
@@ -78,7 +99,7 @@ def best_first(seeds: list[tuple[int, float]], moves: dict[int, list[tuple[int,
         if len(path) >= o.max_hops or expansions >= o.max_expansions:
             continue
         expansions += 1
-        for neighbor, edge, node_score, edge_score, degree in moves.get(node, ()):
+        for neighbor, edge, node_score, edge_score, degree in moves.wanted(node, heap, o.max_hops) if isinstance(moves, Fetched) else moves.get(node, ()):
             if edge in path:
                 continue
             meaning = (o.node_weight * node_score + o.edge_weight * edge_score) / (o.node_weight + o.edge_weight)
@@ -107,7 +128,7 @@ def semantic_paths(graph: Graph, query, options: SemanticPathOptions = SemanticP
     roots = filters.element_set(graph, [i for i, _ in seed_rows])
     near = write_table(traverse.nodes_within_hops(graph, roots, options.max_hops, options.direction, options.edge_label).select("id"), "near")
     walk = steps(graph, options.direction, options.edge_label).join(near.withColumnRenamed("id", "node"), "node", "left_semi")
-    walk = walk.join(near.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi").select("node", "neighbor", "edge")
+    walk = walk.join(near.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi").select("node", "direction", "neighbor", "edge")
 
     def element_scores(kind: int, ids: DataFrame, name: str) -> DataFrame:
         mine = graph.vectors.where(F.col("kind") == kind).join(ids.distinct(), "id", "left_semi")
@@ -116,17 +137,19 @@ def semantic_paths(graph: Graph, query, options: SemanticPathOptions = SemanticP
     degree = steps(graph, BOTH).join(near.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree")).withColumnRenamed("node", "neighbor")
     scored = walk.join(element_scores(EDGE, walk.select(F.col("edge").alias("id")), "edge"), "edge")
     scored = scored.join(element_scores(NODE, near, "neighbor"), "neighbor").join(degree, "neighbor")
-    moves, n = write_counted(scored.select(F.lit(0).alias("query"), "node", "neighbor", "edge", "neighbor_score", "edge_score", "degree"), "moves")
-    if n > options.gathered_edges:
-        raise InvalidArgument(f"{n} steps lie within {options.max_hops} hops; lower the hops or seeds, or raise gathered_edges")
+    moves, n = write_counted(scored.select(F.lit(0).alias("query"), "node", "direction", "neighbor", "edge", "neighbor_score", "edge_score", "degree"), "moves")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         table: dict[int, list] = {}
-        for r in pdf.sort_values(["node", "neighbor", "edge"]).itertuples(index=False):
+        for r in pdf.sort_values(["node", "direction", "edge"]).itertuples(index=False):
             table.setdefault(r.node, []).append((r.neighbor, r.edge, r.neighbor_score, r.edge_score, r.degree))
         found = best_first(seed_rows, table, options)
         return pd.DataFrame([(i + 1, *r) for i, r in enumerate(found)], columns=["rank", "seed", "node", "score", "seed_score", "path"])
 
+    if n > options.gathered_edges:
+        placed = write_table(moves.repartitionByRange(partitions_for(moves), "node").sortWithinPartitions("node"), "moves_by_node")
+        found = best_first(seed_rows, Fetched(placed), options)
+        return graph.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(found)], f"rank int, {PATH_DDL}")
     if n == 0:
         found = best_first(seed_rows, {}, options)
         return graph.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(found)], f"rank int, {PATH_DDL}")

@@ -122,6 +122,23 @@ def _eligible(graph: Graph, target: tuple[int, ...], label: str | None, within:
     return found
 
 
+def eligible_count(graph: Graph, target: tuple[int, ...], label: str | None, within: DataFrame | None) -> int:
+    """Elements with a vector that a search may see."""
+    graph.count("vectors")
+    if within is not None:
+        return _eligible(graph, target, label, within).select("kind", "id").distinct().count()
+    counts = graph.counts["labelled"]
+    return sum(owners for (kind, name), (_, owners) in counts.items() if kind in target and label in (None, name))
+
+
+def with_logged(graph: Graph, near: DataFrame, target: tuple[int, ...], label: str | None, within: DataFrame | None) -> DataFrame:
+    """A shortlist and the eligible elements of the log, which are always scored."""
+    if graph.logged is None:
+        return near
+    logged = _eligible(graph, target, label, within).join(graph.logged, ["kind", "id"], "left_semi").select("kind", "id")
+    return near.unionByName(logged).distinct()
+
+
 def confident(graph: Graph, target: tuple[int, ...], label: str | None, within: DataFrame | None) -> bool:
     """Whether confident bits may count double: everything is searched and owns one vector at most."""
     counts = graph.count("vectors")
@@ -143,9 +160,9 @@ def vector_search_approximate(graph: Graph, query: Sequence[float], k: int, budg
         raise InvalidArgument("an approximate search needs a budget")
     prepared = exact.prepared_query(graph, query)
     budget = max(budget, k)
-    if graph.similarity != COSINE or budget >= sum(graph.count("vectors").get(t, (0, 0))[1] for t in target):
+    if graph.similarity != COSINE or budget >= eligible_count(graph, target, label, within):
         return exact.vector_search_many(graph, [query], k, target, label, within).drop("query").orderBy("rank")
-    near = shortlist(graph, prepared, budget, target, label, within)
+    near = with_logged(graph, shortlist(graph, prepared, budget, target, label, within), target, label, within)
     return exact.vector_search_many(graph, [query], k, target, label, near).drop("query").orderBy("rank")
 
 
@@ -156,7 +173,7 @@ def late_interaction_search_approximate(graph: Graph, queries: Sequence[Sequence
     w = exact.checked_weights(queries, weights)
     prepared = np.stack([exact.prepared_query(graph, q) for q in queries])
     budget = max(budget, k)
-    if graph.similarity != COSINE or budget >= sum(graph.count("vectors").get(t, (0, 0))[1] for t in target):
+    if graph.similarity != COSINE or budget >= eligible_count(graph, target, label, within):
         return exact.late_interaction_search(graph, queries, k, weights, target, label, within)
     sigs = signatures(prepared.astype(np.float32))
     least = [F.min(hamming(F.col("sig"), s)).alias(f"d{i}") for i, s in enumerate(sigs)]
@@ -164,14 +181,15 @@ def late_interaction_search_approximate(graph: Graph, queries: Sequence[Sequence
     for i, share in enumerate(w):
         coarse = coarse + F.round(F.col(f"d{i}") * F.lit(float(share)) * WEIGHT_SCALE).cast("bigint")
     near = _eligible(graph, target, label, within).groupBy("kind", "id").agg(*least).select("kind", "id", coarse.alias("distance")).orderBy("distance", "kind", "id").limit(budget)
-    return exact.late_interaction_search(graph, queries, k, weights, target, label, near.select("kind", "id"))
+    near = with_logged(graph, near.select("kind", "id"), target, label, within)
+    return exact.late_interaction_search(graph, queries, k, weights, target, label, near)
 
 
 # --- adaptive forms ----------------------------------------------------------------------
 
 
-def _within_plan(graph: Graph, within: DataFrame) -> planner.VectorPlan:
-    nodes, edges = sizes(within)
+def _within_plan(graph: Graph, within: DataFrame, counted: tuple[int, int] | None = None) -> planner.VectorPlan:
+    nodes, edges = sizes(within) if counted is None else counted
     return planner.vector_search_within_plan(graph, nodes, edges)
 
 
@@ -183,8 +201,9 @@ def vector_search_adaptive(graph: Graph, query: Sequence[float], k: int, target:
     return vector_search_approximate(graph, query, k, plan.budget, target, label), plan
 
 
-def vector_search_within_adaptive(graph: Graph, query: Sequence[float], within: DataFrame, k: int) -> tuple[DataFrame, planner.VectorPlan]:
-    plan = _within_plan(graph, within)
+def vector_search_within_adaptive(graph: Graph, query: Sequence[float], within: DataFrame, k: int, counted: tuple[int, int] | None = None) -> tuple[DataFrame, planner.VectorPlan]:
+    """As above, inside a set; ``counted`` are its nodes and edges where they are known already."""
+    plan = _within_plan(graph, within, counted)
     if plan.strategy == "exact":
         return exact.vector_search_within(graph, query, within, k), plan
     return vector_search_approximate(graph, query, k, plan.budget, within=within), plan

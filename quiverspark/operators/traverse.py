@@ -18,7 +18,7 @@ from quiverspark.model import BOTH, EDGE, IN, NODE, OUT
 from quiverspark.operators import filters, sketch
 from quiverspark.operators.filters import ElementFilter, steps
 from quiverspark.plans import planner
-from quiverspark.plans.workspace import write_counted, write_table
+from quiverspark.plans.workspace import Seen, write_counted, write_table
 
 
 def _ids(nodes: DataFrame) -> DataFrame:
@@ -42,19 +42,23 @@ def expand(graph: Graph, seeds: DataFrame, direction: str = BOTH, label: str | N
 
 
 def _layers(graph: Graph, seeds: DataFrame, hops: int, direction: str, label: str | None, edges: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    """New nodes of each hop, and the edges met from each frontier; every node is expanded once."""
+    """New nodes of each hop, and the edges met from each frontier; every node is expanded once.
+
+    In both directions a neighbour of a layer lies in it, in the one before or in the next, so
+    these two are all that new nodes are held against.
+    """
     frontier = write_table(seeds.distinct(), "frontier")
-    seen, nodes, met_edges = frontier, [], []
+    seen, nodes, met_edges = Seen(frontier, recent=direction == BOTH), [], []
     for _ in range(hops):
         met = steps(graph, direction, label).join(frontier.withColumnRenamed("id", "node"), "node", "left_semi")
         if edges:
             met = write_table(met.select("neighbor", "edge"), "met")
             met_edges.append(met.select("edge"))
-        fresh, n = write_counted(met.select(F.col("neighbor").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
+        fresh, n = write_counted(met.select(F.col("neighbor").alias("id")).distinct().join(seen.frame, "id", "left_anti"), "frontier")
         if not n:
             break
         nodes.append(fresh)
-        seen = seen.unionByName(fresh)
+        seen.add(fresh)
         frontier = fresh
     return nodes, met_edges
 

@@ -57,6 +57,34 @@ def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, seen["n"]
 
 
+class Seen:
+    """What earlier layers of a traversal have met, for anti-joins.
+
+    With ``recent`` the last two layers are enough.  Otherwise the layers are a union that is
+    written anew as one table each time it has doubled its parts, so plans stay short and all
+    the writing together is a small multiple of what was met.
+    """
+
+    LAYERS = 8
+
+    def __init__(self, first: DataFrame, recent: bool = False):
+        self.recent, self.layers, self.limit = recent, [first], self.LAYERS
+
+    @property
+    def frame(self) -> DataFrame:
+        out = self.layers[0]
+        for layer in self.layers[1:]:
+            out = out.unionByName(layer)
+        return out
+
+    def add(self, layer: DataFrame) -> None:
+        self.layers.append(layer)
+        if self.recent:
+            self.layers = self.layers[-2:]
+        elif len(self.layers) > self.limit:
+            self.layers = [write_table(self.frame, "seen")]
+
+
 def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
     """Write ``df`` bucketed and sorted by a column, so that joins on it in later rounds shuffle the other side only.
 

@@ -26,14 +26,15 @@ from quiverspark import model
 from quiverspark.graph import COSINE, DOT, Graph, adjacency_of, props_of
 from quiverspark.model import EDGE, NODE, PROPS_DDL, Conflict, Corrupt, InvalidArgument, NotFound
 from quiverspark.operators import sketch, vectors
-from quiverspark.plans.workspace import partitions_for
+from quiverspark.plans.workspace import partitions_for, plan_bytes
 
 META_DDL = "dimension int, similarity string, transactions bigint, buckets int"
 LOG_DDL = f"txn bigint, op_order tinyint, op string, kind tinyint, id bigint, source bigint, target bigint, label string, props {PROPS_DDL}, vecs array<array<float>>"
 PUT, DELETE = "put", "delete"
 #: Order within a transaction: nodes, edges, deleted edges, deleted nodes.
 ORDER = {(PUT, NODE): 0, (PUT, EDGE): 1, (DELETE, EDGE): 2, (DELETE, NODE): 3}
-DEFAULT_BUCKETS = 16
+#: Bytes of a log up to which the elements it touches are broadcast; they are fewer bytes than their records.
+BROADCAST_BYTES = 64 << 20
 
 
 def _fs(spark: SparkSession, path: str):
@@ -55,8 +56,11 @@ def _check_new(spark: SparkSession, path: str, dimension: int, similarity: str)
         raise InvalidArgument(f"{path} exists already")
 
 
-def bulk_load(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, vecs: DataFrame, dimension: int, similarity: str = COSINE, buckets: int = DEFAULT_BUCKETS, transactions: int = 0) -> None:
-    """Write frames as a graph's base; what is left of a failed load is removed."""
+def bulk_load(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, vecs: DataFrame, dimension: int, similarity: str = COSINE, buckets: int | None = None, transactions: int = 0) -> None:
+    """Write frames as a graph's base; what is left of a failed load is removed.
+
+    The adjacency gets as many buckets as the stored edges have bytes for, unless a number is given.
+    """
     _check_new(spark, path, dimension, similarity)
     try:
         nodes.select("id", "label", "props", "generation").write.parquet(f"{path}/base/nodes")
@@ -66,6 +70,7 @@ def bulk_load(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame
         order = ["key", "tag", "f", "i", "s"]
         props_of(elements).repartitionByRange(partitions_for(elements), *order).sortWithinPartitions(*order).write.parquet(f"{path}/base/props")
         adjacency = adjacency_of(stored_edges)
+        buckets = buckets or partitions_for(stored_edges)
         table = f"quiverspark_{uuid.uuid4().hex}"
         adjacency.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").option("path", f"{path}/base/adjacency").saveAsTable(table)
         spark.sql(f"DROP TABLE {table}")  # an external table: the files stay
@@ -106,9 +111,13 @@ def fold(base: Graph, log: DataFrame) -> Graph:
     """Base and log as one graph: the latest record of an element wins, a deleted one is gone.
 
     Only elements that the log touches are worked on; the rest of the base passes by an
-    anti-join.  An element's generation counts its puts since it was (last) created.
+    anti-join.  An element's generation counts its puts since it was (last) created.  The
+    stored adjacency stays: edges that the log touches are taken out of it in place, and the
+    log's own links, dealt into the same buckets, are put beside it.
     """
     touched = log.select("kind", "id").distinct()
+    if plan_bytes(log) <= BROADCAST_BYTES:
+        touched = F.broadcast(touched)
     latest = Window.partitionBy("kind", "id").orderBy(F.desc("txn"), F.desc("op_order"))
     every = Window.partitionBy("kind", "id")
     deleted_at = F.max(F.when(F.col("op") == DELETE, F.col("txn"))).over(every)
@@ -118,7 +127,7 @@ def fold(base: Graph, log: DataFrame) -> Graph:
     def of(kind: int, frame: DataFrame, columns: list[str]) -> DataFrame:
         mine = touched.where(F.col("kind") == kind).select("id")
         kept = frame.join(mine, "id", "left_anti")
-        before = frame.select("id", F.col("generation").alias("old"))
+        before = frame.join(mine, "id", "left_semi").select("id", F.col("generation").alias("old"))
         fresh = folded.where(F.col("kind") == kind).join(before, "id", "left").withColumn("generation", F.col("puts") + F.when(F.col("was_deleted"), 0).otherwise(F.coalesce("old", F.lit(0))))
         return kept.select(*columns).unionByName(fresh.select(*columns))
 
@@ -130,7 +139,12 @@ def fold(base: Graph, log: DataFrame) -> Graph:
     sketches = base.sketch.join(touched, ["kind", "id"], "left_anti").unionByName(sketch.sketch_of(fresh_vectors, base.dimension))
     logged_elements = folded.select("kind", "id", "label", "props")
     props = base.props.join(touched, ["kind", "id"], "left_anti").unionByName(props_of(logged_elements))
-    return Graph(nodes, edges, kept.unionByName(fresh_vectors), base.dimension, base.similarity, sketch_table=sketches, props_table=props)
+    touched_edges = touched.where(F.col("kind") == EDGE).select(F.col("id").alias("edge"))
+    links = adjacency_of(folded.where(F.col("kind") == EDGE).select("id", "source", "target", "label"))
+    adjacency = base.adjacency.join(touched_edges, "edge", "left_anti").select(*links.columns)
+    if base.buckets:
+        links = links.repartition(base.buckets, "node")
+    return Graph(nodes, edges, kept.unionByName(fresh_vectors), base.dimension, base.similarity, adjacency.unionByName(links), sketches, props, logged=folded.select("kind", "id"), buckets=base.buckets)
 
 
 @dataclass
@@ -174,7 +188,7 @@ def open_graph(spark: SparkSession, path: str, read_only: bool = False) -> Store
         raise Corrupt(f"{path} holds no complete graph")
     meta = spark.read.schema(META_DDL).parquet(f"{path}/meta").first()
     read = lambda name, ddl: spark.read.schema(ddl).parquet(f"{path}/base/{name}")
-    base = Graph(read("nodes", model.NODES_DDL), read("edges", model.EDGES_DDL), read("vectors", model.VECTORS_DDL), meta["dimension"], meta["similarity"], _bucketed(spark, f"{path}/base/adjacency", meta["buckets"]), read("sketch", sketch.SKETCH_DDL), read("props", model.PROPS_TABLE_DDL), meta["transactions"])
+    base = Graph(read("nodes", model.NODES_DDL), read("edges", model.EDGES_DDL), read("vectors", model.VECTORS_DDL), meta["dimension"], meta["similarity"], _bucketed(spark, f"{path}/base/adjacency", meta["buckets"]), read("sketch", sketch.SKETCH_DDL), read("props", model.PROPS_TABLE_DDL), meta["transactions"], buckets=meta["buckets"])
     numbers = [n for n in committed(spark, path) if n > meta["transactions"]]
     if not numbers:
         return Store(spark, path, base, meta["transactions"], read_only)
@@ -184,7 +198,7 @@ def open_graph(spark: SparkSession, path: str, read_only: bool = False) -> Store
     return Store(spark, path, graph, numbers[-1], read_only)
 
 
-def compact_to(store: Store, path: str, buckets: int = DEFAULT_BUCKETS) -> Store:
+def compact_to(store: Store, path: str, buckets: int | None = None) -> Store:
     """The folded graph as the base of a new one at a new path."""
     g = store.graph
     bulk_load(store.spark, path, g.nodes, g.edges, g.vectors, g.dimension, g.similarity, buckets, store.transactions)
@@ -286,7 +300,7 @@ class Transaction:
         log = store.spark.createDataFrame(rows, LOG_DDL)
         if gone_nodes:
             gone = F.broadcast(store.spark.createDataFrame([(i,) for i in sorted(gone_nodes)], "gone bigint"))
-            incident = store.graph.edges.join(gone, (F.col("source") == F.col("gone")) | (F.col("target") == F.col("gone"))).select("id", "gone").distinct()
+            incident = store.graph.adjacency.join(gone, F.col("node") == F.col("gone")).select(F.col("edge").alias("id"), "gone").distinct()
             other = F.broadcast(store.spark.createDataFrame([(i,) for i in sorted(gone_edges)] or [(-1,)], "id bigint"))
             incident = incident.join(other, "id", "left_anti")
             strict = [i for i in gone_nodes if not self.changes[(NODE, i)]["detach"]]

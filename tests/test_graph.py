@@ -335,3 +335,70 @@ def test_point_reads(spark):
     assert {r[0] for r in filters.symbols(g).collect()} == {"A", "B", "E", "name", "w"}
     assert rows(filters.label_counts(g)) == [("A", 2), ("B", 1)]
     assert ids(filters.elements_matching(g, ElementFilter(None, (("w", 1),)), EDGES), EDGE) == {0}
+
+
+def test_predicates_are_asked_from_the_cheapest_on(spark, monkeypatch):
+    g = make(spark, [("M", {"a": i % 2, "b": i % 10, "c": float(i)}, [E1]) for i in range(40)])
+    asked = []
+    whole = filters._flat
+    monkeypatch.setattr(filters, "_flat", lambda graph, target, label, key: asked.append(key) or whole(graph, target, label, key))
+    r = filtered.vector_search_filtered(g, E1, 50, ElementFilter("M", (("a", 1),)), [Range("c", 10.0), Range("b", 3, 3)], NODES)
+    assert asked == ["b", "a", "c"] and r.candidate_elements == 3 and {h["id"] for h in r.hits.collect()} == {13, 23, 33}
+    assert [p.upper_bound for p in (r.equality_plan, *r.range_plans)] == [20, 30, 4]
+    asked.clear()
+    nothing = filtered.vector_search_filtered(g, E1, 5, ElementFilter("M", (("a", 7),)), [Range("c", 10.0)], NODES)
+    assert asked == ["a"] and nothing.hits.isEmpty() and nothing.candidate_elements == 0
+    assert {r["id"] for r in filtered.vector_search_filtered(g, E1, 50, ElementFilter("M"), [Range("b", 9)]).hits.collect()} == {9, 19, 29, 39}
+
+
+def test_a_pattern_runs_as_it_is_planned(spark):
+    nodes = [("Seed", {}, [E1]), ("Target", {}, [E2])] + [("Noise",)] * 49
+    g = make(spark, nodes, [(0, 1, "UNIQUE"), (0, 0, "UNIQUE")] + [(2 + i, 3 + i, "NOISE") for i in range(48)])
+    for direction in (OUT, IN, "both"):
+        q = OneHop(ElementFilter("Seed"), "UNIQUE", direction=direction)
+        found = [rows(pattern.matches(g, q, planner.OneHopPlan(way, 0, 0, 0, 0))) for way in ("edge_scan", "start_adjacency", "end_adjacency")]
+        assert found[0] == found[1] == found[2] and found[0]
+    assert pattern.plan(g, OneHop(ElementFilter("Seed"))).strategy == "start_adjacency"
+    assert rows(pattern.matches(g, OneHop(ElementFilter("Seed")))) == [(0, 0, 1), (0, 1, 0)]
+
+
+def test_logged_vectors_are_always_scored(spark):
+    angles = np.linspace(0, np.pi, 40, endpoint=False)
+    g = make(spark, [("Base", {}, [[float(np.cos(t)), float(np.sin(t)), 0.0, 0.0]]) for t in angles] + [("Far", {}, [E3])])
+    q = [1.0, 0.0, 0.2, 0.0]
+    assert 40 not in {r["id"] for r in sketch.shortlist(g, vectors.prepared_query(g, q), 3, NODES, None, None).collect()}
+    g.logged = filters.element_set(g, [40])
+    near = sketch.with_logged(g, sketch.shortlist(g, vectors.prepared_query(g, q), 3, NODES, None, None), NODES, None, None)
+    assert 40 in {r["id"] for r in near.collect()}
+    assert sketch.with_logged(g, near, NODES, "Base", None).where("id = 40").count() == 1  # it was there before
+    assert sketch.eligible_count(g, NODES, "Far", None) == 1 and sketch.eligible_count(g, NODES, None, filters.element_set(g, [1, 2])) == 2
+    assert rows(sketch.vector_search_approximate(g, q, 1, 1, NODES, "Far")) == rows(vectors.vector_search(g, q, 1, NODES, "Far"))
+
+
+def test_paths_beyond_what_one_task_holds(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(0, 1, 4))
+    g = make(spark, [("N", {}, [unit()]) for _ in range(30)], [(int(a), int(b), "E", {}, [unit()]) for a, b in rng.integers(0, 30, (80, 2))])
+    for o in (dict(seed_count=4, max_hops=3, limit=50), dict(seed_count=2, max_hops=2, max_expansions=7, direction=OUT)):
+        whole = semantic.semantic_paths(g, E1, semantic.SemanticPathOptions(**o))
+        fetched = semantic.semantic_paths(g, E1, semantic.SemanticPathOptions(**o, gathered_edges=1))
+        assert rows(whole) == rows(fetched) and whole.count() > 3
+
+
+def test_layers_of_a_traversal(spark):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b), "E") for a, b in rng.integers(0, 120, (150, 2))] + [(i, i + 1, "E") for i in range(100, 119)]
+    g = make(spark, [("N",)] * 120, links)
+    for direction in (OUT, "both"):
+        near = {i: set() for i in range(120)}
+        for a, b, _ in links:
+            near[a].add(b)
+            if direction == "both":
+                near[b].add(a)
+        reached, frontier = {0}, {0}
+        for _ in range(25):
+            frontier = set().union(*(near[i] for i in frontier), set()) - reached
+            reached |= frontier
+        assert ids(traverse.nodes_within_hops(g, filters.element_set(g, [0]), 25, direction)) == reached
+    chain = make(spark, [("N",)] * 24, [(i, i + 1, "E") for i in range(23)])
+    assert rows(analytics.bfs(chain, 2).na.fill(-1)) == [(0, -1), (1, -1)] + [(i, i - 2) for i in range(2, 24)]

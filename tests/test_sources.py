@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiverspark import model
 from quiverspark.functions import embedding, text
+from quiverspark.graph import adjacency_of
 from quiverspark.model import EDGE, NODE, Conflict, Corrupt, InvalidArgument, NotFound
 from quiverspark.operators import filters, sketch, traverse, vectors
 from quiverspark.operators.filters import ElementFilter
@@ -299,3 +300,57 @@ def test_text_functions(spark):
     assert [r[0] for r in times.select(text.epoch_millis(F.col("t"))).collect()] == [1704164645000, None]
     s = lambda t, p: spark.range(1).select(text.score_text(F.lit(t), p, p.split(), 2.0)).first()[0]
     assert (s("a b", "a b"), s("x a b", "a b"), s("a", "a b"), s("q", "a b")) == (4.8, 3.8, 1.0, 0.0)
+
+
+def bulk(spark, path, n=50, m=200):
+    nodes = spark.range(n).selectExpr("id", "'N' AS label", f"cast(map() AS {model.PROPS_DDL}) AS props", "1L AS generation")
+    edges = spark.range(m).selectExpr("id", f"id % {n} AS source", f"(id * 7) % {n} AS target", "'E' AS label", f"cast(map() AS {model.PROPS_DDL}) AS props", "1L AS generation")
+    store.bulk_load(spark, path, nodes, edges, spark.createDataFrame([], model.VECTORS_DDL), 4)
+    return store.open_graph(spark, path)
+
+
+def test_the_adjacency_survives_a_transaction(spark, tmp_path):
+    s = bulk(spark, f"{tmp_path}/g")
+    t = s.transaction()
+    new = t.create_edge(1, 2, "E")
+    t.delete_edge(1)
+    t.commit()
+    t = s.transaction()
+    t.delete_node(3, detach=True)
+    t.commit()
+    g = s.graph
+    assert rows(g.adjacency) == rows(adjacency_of(g.edges)) and new in {r["edge"] for r in g.adjacency.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = g.adjacency.join(spark.range(1000).withColumnRenamed("id", "node"), "node", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what is shuffled: the frontier, and the log's own few links; not the stored links
+    lines_ = plan.splitlines()
+    at = next(i for i, line in enumerate(lines_) if "quiverspark_adjacency" in line)
+    join = max(i for i in range(at) if "SortMergeJoin" in lines_[i])
+    assert "Bucketed: true" in lines_[at] and not any("Exchange" in line for line in lines_[join:at])
+    assert rows(filters.neighbors(g, 1).select("id")) == [(i,) for i in sorted({i for i in range(200) if 1 in (i % 50, i * 7 % 50) and 3 not in (i % 50, i * 7 % 50)} - {1} | {new})]
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    path = f"{tmp_path}/g"
+    s = bulk(spark, path, 4, 8)
+    gone = spark.createDataFrame([("delete", NODE, 1, None, None, None, {}, [])], mutations.CHANGES_DDL)
+    (tmp_path / "g/log/txn=1").mkdir(parents=True)  # an attempt that broke off
+    (tmp_path / "g/log/txn=1/part-0.parquet").write_bytes(b"torn")
+    assert mutations.append(spark, path, gone, 0, "a") and not mutations.append(spark, path, gone, 0, "a")
+    assert mutations.append(spark, path, gone.limit(0), 1, "a") is False
+    assert store.committed(spark, path) == [1]
+    s.refresh()
+    assert s.graph.node_count == 3 and not [r for r in s.graph.edges.collect() if 1 in (r["source"], r["target"])]
+    assert rows(s.graph.adjacency) == rows(adjacency_of(s.graph.edges))
+    again = spark.createDataFrame([("put", NODE, 9, None, None, "N", {}, [])], mutations.CHANGES_DDL)
+    assert mutations.append(spark, path, again, 0, "b") and store.open_graph(spark, path).transactions == 2
+
+
+def test_buckets_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "partitions_for", lambda frame: 7)
+    s = bulk(spark, f"{tmp_path}/g")
+    assert s.graph.buckets == 7
+    assert store.compact_to(s, f"{tmp_path}/h", 3).graph.buckets == 3
