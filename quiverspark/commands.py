@@ -95,6 +95,10 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def parsed(arguments: Sequence[str] | None = None) -> argparse.Namespace:
+    return _parser().parse_args(arguments)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     """The frame that a parsed command gives, or None for one that writes."""
     made = {
@@ -131,7 +135,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
-    a = _parser().parse_args(arguments)
+    a = parsed(arguments)
     spark = SparkSession.builder.appName("quiverspark").getOrCreate()
     found = run(spark, a)
     if found is not None:

@@ -6,9 +6,7 @@ decimals where results are compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverspark.functions import embedding, text
@@ -16,29 +14,14 @@ from quiverspark.graph import Graph
 from quiverspark.model import BOTH, EDGE, EDGES, NODE, NODES, OUT
 from quiverspark.operators import analytics, explore, filtered, filters, pattern, semantic, sketch, traverse, vectors
 from quiverspark.operators.filters import ElementFilter, Range
-from quiverspark.sources import files, fixture, store
+from quiverspark.registry import ORACLES, QUERIES, Query, registered
+from quiverspark.sources import files, store
 from quiverspark.sources.fixture import CODES
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 NATION_7, CUSTOMER_1, ORDER_5, PART_3, REGION_2 = 7 * 8 + CODES["Nation"], 1 * 8 + CODES["Customer"], 5 * 8 + CODES["Order"], 3 * 8 + CODES["Part"], 2 * 8 + CODES["Region"]
 QUERY_VECTORS = (7, 42)
 
 
-def registered(name: str, sql: str | None = None):
-    """Register a function of a graph as a query; ``sql`` sees nodes, edges, owners, walk and the raw tables."""
-
-    def put(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(fixture.graph(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = f"WITH RECURSIVE {fixture.SQL.strip()}\n{sql.lstrip()}"
-        return f
-
-    return put
-
-
 def _vector(graph: Graph, vec_id: int) -> list[float]:
     """The fixture's vector of an embeddings row: nation vec_id % 25 owns it as facet vec_id // 25."""
     row = graph.vectors.where((F.col("kind") == NODE) & (F.col("id") == (vec_id % 25) * 8 + 1) & (F.col("facet") == vec_id // 25)).first()
@@ -279,16 +262,6 @@ def v02(g):
     return _rounded(vectors.vector_search_within(g, _vector(g, 7), filters.elements_in_range(g, Range("size", None, 10)), 10), "score")
 
 
-@registered("v03_vector_search_approximate")
-def v03(g):
-    return _rounded(sketch.vector_search_approximate(g, _vector(g, 7), 10, 200, NODES), "score")
-
-
-@registered("v04_within_approximate")
-def v04(g):
-    return _rounded(sketch.vector_search_approximate(g, _vector(g, 7), 10, 100, NODES, within=filters.elements_in_range(g, Range("size", None, 25))), "score")
-
-
 @registered("v05_vector_search_adaptive", _hits_sql(vec_id=42))
 def v05(g):
     return _rounded(sketch.vector_search_adaptive(g, _vector(g, 42), 10)[0], "score")
@@ -327,56 +300,11 @@ def v10(g):
     return _late(vectors.late_interaction_search(g, _late_queries(g), 10, [3, 1], within=filters.elements_with_label(g, "Supplier")))
 
 
-@registered("v11_late_interaction_approximate")
-def v11(g):
-    return _late(sketch.late_interaction_search_approximate(g, _late_queries(g), 10, 200, [3, 1], NODES))
-
-
 @registered("v12_late_interaction_adaptive", _late_sql())
 def v12(g):
     return _late(sketch.late_interaction_adaptive(g, _late_queries(g), 10, [3, 1])[0])
 
 
-@registered("v14_recall")
-def v14(g):
-    rows = g.vectors.where((F.col("kind") == NODE) & (F.col("label") == "Nation") & (F.col("facet") == 1)).orderBy("id").limit(5).select("vec").collect()
-    found = None
-    for i, r in enumerate(rows):
-        q = [float(x) for x in r[0]]
-        truth = vectors.vector_search(g, q, 10, NODES).withColumn("query", F.lit(i))
-        near = sketch.vector_search_approximate(g, q, 10, 300, NODES).withColumn("query", F.lit(i))
-        one = g.spark.createDataFrame([(i, vectors.recall(near, truth, 10))], "query int, recall double")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-# --- K: the sketch ------------------------------------------------------------------------------
-
-
-@registered("k02_signatures")
-def k02(g):
-    return g.sketch.select("kind", "id", "facet", F.hex(F.col("sig")[0]).alias("word"))
-
-
-@registered("k04_hamming")
-def k04(g):
-    import numpy as np
-
-    q = sketch.signatures(np.asarray([_vector(g, 7)], dtype=np.float32))[0]
-    return g.sketch.select("kind", "id", "facet", sketch.hamming(F.col("sig"), q).alias("distance"))
-
-
-@registered("k05_confident_hamming")
-def k05(g):
-    import numpy as np
-
-    x = np.asarray([_vector(g, 7)], dtype=np.float32)
-    return g.sketch.select("kind", "id", "facet", sketch.hamming(F.col("sig"), sketch.signatures(x)[0], sketch.confidence_masks(x)[0]).alias("distance"))
-
-
-@registered("k07_shortlist")
-def k07(g):
-    return sketch.shortlist(g, vectors.prepared_query(g, _vector(g, 7)), 100, NODES, None, None)
 
 
 # --- T: traversal ------------------------------------------------------------------------------
@@ -432,11 +360,6 @@ def t06(g):
     return _path_row(g, traverse.shortest_path(g, CUSTOMER_1, target, max_hops=1))
 
 
-@registered("t07_bidirectional_path")
-def t07(g):
-    return _path_row(g, traverse.shortest_path(g, CUSTOMER_1, PART_3))
-
-
 @registered("t09_match_one_hop", "SELECT source AS start, id AS edge, target AS \"end\" FROM edges WHERE label = 'PLACED' AND source IN (SELECT c_custkey * 8 + 2 FROM customer WHERE c_mktsegment = 'BUILDING') AND target IN (SELECT o_orderkey * 8 + 5 FROM orders WHERE o_orderstatus = 'O') ORDER BY edge, start, \"end\" LIMIT 1000")
 def t09(g):
     return pattern.match_one_hop(g, pattern.OneHop(ElementFilter("Customer", (("segment", "BUILDING"),)), "PLACED", ElementFilter("Order", (("status", "O"),)), limit=1000))
@@ -555,11 +478,6 @@ def x03(g):
     return explore.titled(g, filters.elements_with_label(g, "Nation", NODES)).select("kind", "id", "label", "title")
 
 
-@registered("x04_evidence")
-def x04(g):
-    return traverse.evidence_path(g, CUSTOMER_1, PART_3)[1].drop("node_props")
-
-
 @registered("x05_snapshot")
 def x05(g):
     return explore.snapshot(g, 2_000, 3_000).nodes
@@ -592,26 +510,12 @@ def x08(g):
     return explore.including_path(explore.snapshot(g, 500, 700), g, p.nodes, p.edges).nodes
 
 
-@registered("x09_orbit")
-def x09(g):
-    return _rounded(explore.orbit(explore.snapshot(g, 500, 700)), "x", "y")
-
-
-@registered("e01_hash_embedding")
-def e01(g):
-    names = g.nodes.where("label = 'Part'").select("id", embedding.hash_embed(F.col("props")["name"]["s"], 64).alias("v"))
-    return names.select("id", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
-
-
-@registered("e03_embedding_cache")
-def e03(g):
-    rows = g.nodes.where("label = 'Order'").select("id", F.col("props")["priority"]["s"].alias("priority"))
-    return embedding.embed_unique(rows, "priority", None, 64).select("id", "priority", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
-
-
 def queries() -> dict[str, Query]:
+    from quiverspark import queries_plans, queries_store  # noqa: F401, they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
