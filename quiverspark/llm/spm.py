@@ -3,13 +3,15 @@
 Pieces and scores come from a model file; the best segmentation is the one with the
 highest sum of scores (the library's unigram rule; on a model that was trained as BPE it
 is the same pieces under that rule, not the merge order).  Text streams through a window:
-the states that can still matter are those within one maximum piece length of the newest
-character, and whenever all their backpointer paths meet at one boundary, everything
-before it is final, its ids are committed and the window forgets it.  Memory is bounded by
-the distance between such boundaries, whatever the text's length.
+the states that can still matter are the newest boundary and those from which a piece may
+yet be completed, none farther back than the longest piece.  Whenever all their backpointer
+paths meet at one boundary, everything before it is final, its ids are committed and the
+window forgets it.  Memory is bounded by the distance between such boundaries, whatever the
+text's length.
 
 Where no piece holds the space mark after another character, every run of marks begins at
-a boundary that all paths share, so stretches between them are searched once per process.
+a boundary that all paths share; a text is then searched stretch by stretch, and the ids of
+a stretch are kept for its next occurrence in the process.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 NO_CHOICE = -1e8  # scores below it keep a piece from ever being chosen, and say nothing about unknown characters
 CHECK_EVERY = 32
+MEMO_STRETCHES = 300_000
 
 
 class Pieces:
@@ -59,31 +62,40 @@ class Pieces:
         self.by_stretch = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, piece: str | None, text: str) -> list[int]:
-        if piece is not None:
-            return [self.score[piece][1]]
-        if len(self.byte_of) == 256:
-            return [self.bytes[b] for b in text.encode()]
-        return [self.unknown]
+    def _spelt(self, text: str) -> list[int]:
+        """Ids of a character that no piece holds."""
+        return [self.bytes[b] for b in text.encode()] if len(self.byte_of) == 256 else [self.unknown]
 
     def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
         """Ids in portions, each final when it is given out; ``characters`` may come in pieces of any length."""
-        window, best, back = "", [0.0], [(0, None)]  # positions count from the last committed boundary
+        trie, unknown = self.trie, self.unknown_score
+        window, best, back = [], [0.0], [(0, None)]  # positions count from the last committed boundary
+        check = CHECK_EVERY  # where paths are looked at next: later and later while they do not meet
+        open_: list[tuple[int, dict]] = []  # where pieces begin that the text may yet complete, earliest first
         for part in characters:
             for c in part:
-                window += c
                 at = len(window)
-                top, way = -np.inf, (at - 1, None)
-                for size in range(min(self.longest, at), 0, -1):  # of equal paths the one with the longer last piece
-                    piece = window[at - size :]
-                    if piece in self.score and best[at - size] + self.score[piece][0] > top:
-                        top, way = best[at - size] + self.score[piece][0], (at - size, piece)
-                if c not in self.score and best[at - 1] + self.unknown_score > top:
-                    top, way = best[at - 1] + self.unknown_score, (at - 1, None)
+                top, way, single, still = -np.inf, (at, None), False, []
+                open_.append((at, trie))
+                for start, node in open_:  # of equal paths the one with the longer last piece
+                    node = node.get(c)
+                    if node is not None:
+                        still.append((start, node))
+                        known = node.get(None)
+                        if known is not None:
+                            single = start == at
+                            if best[start] + known[0] > top:
+                                top, way = best[start] + known[0], (start, known[1])
+                if not single and best[at] + unknown > top:
+                    top, way = best[at] + unknown, (at, None)
+                window.append(c)
                 best.append(top)
                 back.append(way)
-                if at % CHECK_EVERY == 0:
-                    live = {max(0, at - k) for k in range(self.longest)}
+                open_ = still
+                if at + 1 == check:
+                    check += max(CHECK_EVERY, check // 2)
+                    live = {start for start, _ in open_}
+                    live.add(at + 1)
                     while len(live) > 1:
                         last = max(live)
                         live.discard(last)
@@ -93,66 +105,34 @@ class Pieces:
                         yield self._path(window, back, boundary)
                         base = best[boundary]
                         window, best = window[boundary:], [b - base for b in best[boundary:]]
-                        back = [(0, None)] + [(b - boundary, p) for b, p in back[boundary + 1 :]]
+                        back = [(0, None)] + [(b - boundary, i) for b, i in back[boundary + 1 :]]
+                        open_ = [(start - boundary, node) for start, node in open_]
+                        check = len(window) + CHECK_EVERY
         if window:
             yield self._path(window, back, len(window))
 
-    def _path(self, window: str, back: list, end: int) -> list[int]:
+    def _path(self, window: list[str], back: list, end: int) -> list[int]:
         steps = []
         while end > 0:
             start, piece = back[end]
-            steps.append(self._ids(piece, window[start:end]))
-            end = start
-        return [i for step in reversed(steps) for i in step]
-
-    def _stretch(self, text: str) -> list[int]:
-        """The same search for a short stretch, from each boundary forwards."""
-        n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        trie, unknown = self.trie, self.unknown_score
-        for i in range(n):
-            here, node, j = best[i], trie, i
-            single = False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
-                known = node.get(None)
-                if known is not None:
-                    if j == i + 1:
-                        single = True
-                    value = here + known[0]
-                    if value > best[j]:
-                        best[j] = value
-                        back[j] = (i, known[1])
-            if not single and here + unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + unknown, (i, None)
-        steps, end = [], n
-        while end:
-            start, i = back[end]
-            steps.append([i] if i is not None else self._ids(None, text[start:end]))
+            steps.append([piece] if piece is not None else self._spelt(window[start]))
             end = start
         return [i for step in reversed(steps) for i in step]
 
     STRETCHES = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-    SHORT = 64
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32; one mark is put before the text, spaces become marks."""
         if not text:
             return b""
         marked = MARK + text.replace(" ", MARK)
-        if not self.by_stretch:
-            return np.array([i for ids in self.stream([marked]) for i in ids], dtype="<u4").tobytes()
-        stretches = self.STRETCHES.findall(marked)
+        stretches = self.STRETCHES.findall(marked) if self.by_stretch else [marked]
         memo = self.memo
         new = set(stretches).difference(memo)
         for s in new:
-            ids = self._stretch(s) if len(s) <= self.SHORT else [i for part in self.stream([s]) for i in part]
-            memo[s] = array("I", ids).tobytes()
+            memo[s] = b"".join(array("I", ids).tobytes() for ids in self.stream([s]))
         out = b"".join(map(memo.__getitem__, stretches))
-        if len(memo) > common.MEMO_WORDS:
+        if len(memo) > MEMO_STRETCHES or not self.by_stretch:
             for s in new:
                 del memo[s]
         return out
@@ -176,9 +156,10 @@ def pieces(file: str = MODEL) -> Pieces:
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and ids (little-endian uint32) of every row.
 
-    A null or empty text has no ids; a null doc_id stays null; repeated rows are encoded
-    alike; extra columns are not read; an empty table gives no rows.  A space mark inside a
-    text is indistinguishable from a space, as in the format itself.
+    A null or empty text has no ids; a text of any length is encoded whole; of equally good
+    segmentations the one whose pieces are longer at the end is taken; a null doc_id stays
+    null; repeated rows are encoded alike; extra columns are not read; an empty table gives no
+    rows.  A space mark inside a text is indistinguishable from a space, as in the format itself.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -202,17 +183,27 @@ def decoded(ids: DataFrame, model: str = MODEL) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole document, and the digest of the text that they decode to."""
-    docs = common.table(spark, sf_dir, "documents")
-    ids = encoded(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("text", pa.string()), ("same", pa.bool_())])
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pieces(MODEL)
-        for batch in common.narrow_batches(batches):
-            data = batch["ids"].to_pylist()
-            yield common.batch_of(schema, [batch["doc_id"], [len(x) // 4 for x in data], data, [vocabulary.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in data]])
 
-    read = ids.mapInArrow(both, "doc_id long, n_ids long, ids binary, text string")
-    return read.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+def round_trips(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_ids, ids, the text that they decode to, and whether it is the row's own text.
+
+    Rows are treated as by ``encoded``; a null text decodes to the empty one, which counts as the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(model)
+        for batch in common.narrow_batches(batches, 500):
+            texts = batch["text"].to_pylist()
+            data = [vocabulary.encode(t) for t in texts]
+            back = [vocabulary.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in data]
+            yield common.batch_of(ROUND_TRIP, [batch["doc_id"], [len(x) // 4 for x in data], data, back, [a == b for a, b in zip(texts, back, strict=True)]])
+
+    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n_ids long, ids binary, text string, same boolean")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, the digest of the text that they decode to, and whether that is the document's."""
+    read = round_trips(common.table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"), F.col("same").alias("decoded_equals_text"))

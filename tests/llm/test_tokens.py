@@ -1,6 +1,7 @@
 """Token store, packing, SentencePiece: against the libraries themselves."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -186,3 +187,21 @@ def test_sentencepiece_table(spark, pieces):
     back = sorted((r["doc_id"] or 0, r["text"]) for r in spm.decoded(ids).collect())
     assert back == sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
     assert spm.encoded(empty(spark)).count() == 0 and spm.decoded(spm.encoded(empty(spark))).count() == 0
+
+
+def test_long_stretches_commit_early_and_take_linear_time(pieces):
+    for text in ("ab" * 150_000, "q" * 150_000, "nospaceshere" * 12_000):
+        began = time.time()
+        out = [i for part in pieces.stream([text]) for i in part]
+        assert pieces.decode(out) == text and time.time() - began < 20
+    parts = list(pieces.stream(["the", " cat".replace(" ", spm.MARK)] * 200))
+    assert len(parts) > 20  # ids come out while the text goes on
+
+
+def test_round_trips(spark):
+    got = {r["doc_id"]: r for r in spm.round_trips(tricky(spark)).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in tricky(spark).select("doc_id", "text").collect()}
+    assert all(got[i]["same"] and got[i]["text"] == texts[i] for i in texts)
+    mark = spm.round_trips(frame(spark, [(1, "a\u2581b", "en")])).first()
+    assert not mark["same"] and mark["text"] == "a b"
+    assert spm.round_trips(empty(spark)).count() == 0
