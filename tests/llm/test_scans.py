@@ -1,6 +1,7 @@
 """Personal data, licenses, nearest neighbours, and the pipeline."""
 
 import hashlib
+import random
 import re
 import time
 from pathlib import Path
@@ -104,6 +105,48 @@ def test_loopy_messages_on_a_tree_are_exact():
     assert len(pairs) == 198  # each with the next by content and by likeness, not with all
 
 
+def spoken(rng, kind):
+    number = f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+    return {"phone": f"please call +1 {number} today", "bare": f"please call 1 {number} today", "order": f"order no {rng.randint(10**7, 10**8)} was sent", "part": f"order no 1 {number} was sent"}[kind]
+
+
+def test_the_field_learns_from_found_spans(spark):
+    """Calls with a plus sign are found by their pattern and teach what a call without one looks like."""
+    rng = random.Random(3)
+    texts = [spoken(rng, "phone" if i % 2 else "order") for i in range(160)]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    field = pii.fit(docs)
+    for _ in range(20):
+        bare, part = spoken(rng, "bare"), spoken(rng, "part")
+        assert pii.all_spans(bare) == [] and [(k, bare[a:b]) for k, a, b, _ in pii.all_spans(bare, field)] == [("phone", bare[12:-6])]
+        assert [s for s in pii.all_spans(part, field) if s[0] == "phone"] == []
+    assert pii.fit(empty(spark)) == pii.PRIOR and pii.fit(frame(spark, [(1, "no numbers here", "en")])) == pii.PRIOR
+    # learned evidence is bounded: plain tokens need a found one of their content
+    assert pii.all_spans("call 12 or 4081 or 99 today", field) == []
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(docs.unionByName(frame(spark, [(1000, "please call 1 415 555 1234 today", "en")]))).collect()}
+    assert got[1000] == "phone:12:26" and got[0] == ""
+
+
+def test_weights_are_those_of_the_pseudo_likelihood():
+    """The fitted weights are a better fit of the labelled nodes than the prior, by the objective worked out by hand."""
+    rng = random.Random(5)
+    examples = [pii.example(spoken(rng, "phone" if i % 2 else "order")) for i in range(100)]
+    field = pii.learn(examples)
+
+    def loss(field):
+        total = 0.0
+        for ordinary, _, labels, edges in examples:
+            for i, y in enumerate(labels):
+                logits = np.sum([field.weights.get(f, np.zeros(5)) for f in ordinary[i]], axis=0)
+                for a, b, sort in edges:
+                    if i in (a, b) and (other := labels[b if i == a else a]) >= 0:
+                        logits = logits + (field.near, field.same, field.alike)[sort] * np.eye(5)[other]
+                total -= logits[y] - np.log(np.exp(logits).sum())
+        return total
+
+    assert loss(field) < 0.2 * loss(pii.PRIOR)
+
+
 def test_pii_tables(spark):
     docs = frame(spark, [(1, "a@b.co and 10.0.0.1", "en"), (2, None, "en"), (3, "clean", None)])
     got = {r["doc_id"]: r for r in pii.span_digests(docs).collect()}
