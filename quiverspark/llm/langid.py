@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiverspark.llm import common
 from quiverspark.llm.toxicity import letters
+from quiverspark.plans.workspace import write_table
 
 SEGMENT = 128
 MEMO_WORDS = 200_000
@@ -37,7 +38,9 @@ class Options:
     """Bounds of the training sample and of the training."""
 
     documents: int = 400  # of each language, in an order hashed from doc_id
-    longest: int = 200_000  # characters of a text in the training sample; labelling has no such bound
+    languages: int = 200  # those with the most sampled documents; ties by name
+    drawn: int = 8  # pieces of each sampled document that training may use
+    longest_word: int = 100  # characters; longer ones are left out of training pieces, not of labelling
     sequences: int = 1500
     pieces: int = 5
     piece_words: int = 24
@@ -185,12 +188,28 @@ class Labeller:
         return [self.model.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total, strict=True)], np.clip(score, 0, 1)
 
 
+def draw(text: str, seed: int, options: Options) -> list[list[str]]:
+    """Pieces of a text for training, at random places of the whole of it."""
+    words = [w for w in text.lower().split() if len(w) <= options.longest_word and letters(w)]
+    rng = np.random.default_rng(seed)
+    pieces = []
+    for _ in range(options.drawn if words else 0):
+        size = 1 + int(rng.integers(2 * options.piece_words))
+        at = int(rng.integers(max(1, len(words) - size + 1)))
+        pieces.append(words[at : at + size])
+    return pieces
+
+
 def train(texts: list[str], langs: list[str], options: Options = Options()) -> Model:
-    """Fit weights and transitions on code-switched sequences of pieces of the given texts."""
+    """Fit on pieces drawn from given texts."""
+    return train_on([draw(t, i, options) for i, t in enumerate(texts)], langs, options)
+
+
+def train_on(drawn: list[list[list[str]]], langs: list[str], options: Options = Options()) -> Model:
+    """Fit weights and transitions on code-switched sequences of the documents' pieces."""
     rng = np.random.default_rng(options.seed)
     languages = sorted(set(langs))
-    words = [[w for w in t.lower().split() if letters(w)] for t in texts]
-    usable = [[i for i in range(len(texts)) if langs[i] == name and words[i]] for name in languages]
+    usable = [[i for i in range(len(drawn)) if langs[i] == name and drawn[i]] for name in languages]
     languages, usable = [n for n, u in zip(languages, usable, strict=True) if u], [u for u in usable if u]
     if not languages:
         return Model([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
@@ -201,10 +220,8 @@ def train(texts: list[str], langs: list[str], options: Options = Options()) -> M
         ids, tags = [], []
         for _ in range(options.pieces):
             k = int(rng.integers(n))
-            source = words[usable[k][int(rng.integers(len(usable[k])))]]
-            size = 1 + int(rng.integers(2 * options.piece_words))
-            at = int(rng.integers(max(1, len(source) - size + 1)))
-            piece = source[at : at + size]
+            source = drawn[usable[k][int(rng.integers(len(usable[k])))]]
+            piece = source[int(rng.integers(len(source)))]
             ids += [memo.setdefault(w, len(memo)) for w in piece]
             tags += [k] * len(piece)
         sequences.append(np.array(ids))
@@ -289,25 +306,38 @@ def pair_marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.n
 def fit(docs: DataFrame, options: Options = Options()) -> Model:
     """Train on rows outside the held-out fold (crc32 of the id modulo 3 is 1) that have a language.
 
-    ``documents`` rows of each language at most, in an order hashed from doc_id; their ids
-    are chosen from the narrow columns, so other rows' texts are not moved.
+    ``documents`` rows of each language at most, in an order hashed from doc_id, are chosen in
+    one pass over the narrow columns, so other rows' texts are not moved; a second pass draws
+    pieces of their whole texts where they lie.  The driver sees ``drawn`` pieces a document.
+    A doc_id that has several languages counts for each; of its repeated rows one counts.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where((common.fold_of("doc_id", 3) != 1) & F.col("lang").isNotNull())
-    languages = [r[0] for r in known.select("lang").distinct().collect()]
-    ids: list[tuple[int, str]] = []
-    for name in sorted(languages):
-        ids += [(r[0], name) for r in known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.documents).collect()]
-    few = spark.createDataFrame(ids, "doc_id long, wanted string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang").where(F.length("text") <= options.longest)
-    rows = sorted(texts.join(F.broadcast(few), "doc_id").where("lang = wanted").dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").collect())
-    return train([r[2] for r in rows], [r[1] for r in rows], options)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut in the tasks before the shuffle
+    sampled = write_table(known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= options.documents).select("doc_id", "lang").distinct(), "sampled")
+    frequent = sampled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.languages).select("lang")
+    ids = sampled.join(frequent, "lang", "left_semi").select("doc_id", F.col("lang").alias("wanted")).collect()
+    few = spark.createDataFrame([tuple(r) for r in ids], "doc_id long, wanted string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    rows = texts.join(F.broadcast(few), "doc_id").where("lang = wanted").select("doc_id", "lang", "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("pieces", pa.list_(pa.list_(pa.string())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.narrow_batches(batches):
+            drawn = [draw(t, i & 0x7FFFFFFF, options) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            yield common.batch_of(schema, [batch["doc_id"], batch["lang"], drawn])
+
+    found = rows.mapInArrow(run, "doc_id long, lang string, pieces array<array<string>>").collect()
+    one = {(r["doc_id"], r["lang"]): r["pieces"] for r in sorted(found)}
+    keys = sorted(one)
+    return train_on([one[k] for k in keys], [lang for _, lang in keys], options)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row.
 
-    A null, empty or letterless text is ``und`` with score 0; a null doc_id stays null and
+    A null, empty or letterless text is ``und`` with score 0; a text of any length is labelled
+    whole, in segments that run side by side; a null doc_id stays null and
     counts as not held out; equal languages at the top go to the first by name; repeated rows
     are labelled alike; extra columns are not read; an empty table gives no rows.
     """
