@@ -20,9 +20,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +39,8 @@ class Options:
 
     positives: int = 2500
     negatives: int = 4500
-    longest: int = 200_000  # characters of a text in the training sample; scoring has no such bound
+    longest: int = 20_000  # words of a text in the training sample, taken as its spaces and line feeds and one; scoring has no such bound
+    words: int = 6_000_000  # of all texts in the sample, a third of them for the toxic ones at least
     dims: int = 12
     filters: int = 6
     epochs: int = 5
@@ -107,15 +107,19 @@ class Scorer:
         self.memo: dict[str, int] = {}
         self.vectors = np.zeros((1 << 12, self.rows.shape[1]), dtype=np.float32)
 
+    def vectors_of(self, b: np.ndarray) -> np.ndarray:
+        """What words whose three table rows are given add to every filter and language."""
+        vectors = self.rows[b[:, 0]] + self.rows[b[:, 1]] + self.rows[b[:, 2]]
+        languages = len(self.model.languages)
+        if languages:  # languages are told by whole words alone
+            vectors[:, -languages:] = self.rows[b[:, 0], -languages:]
+        return vectors
+
     def _learn(self, new: list[str]) -> None:
         at = len(self.memo)
         while at + len(new) > len(self.vectors):
             self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
-        b = rows_of(new, self.model.keys)
-        self.vectors[at : at + len(new)] = self.rows[b[:, 0]] + self.rows[b[:, 1]] + self.rows[b[:, 2]]
-        languages = len(self.model.languages)
-        if languages:  # languages are told by whole words alone
-            self.vectors[at : at + len(new), -languages:] = self.rows[b[:, 0], -languages:]
+        self.vectors[at : at + len(new)] = self.vectors_of(rows_of(new, self.model.keys))
         self.memo.update(zip(new, range(at, at + len(new)), strict=True))
 
     def _trim(self, new: set[str]) -> None:
@@ -126,39 +130,44 @@ class Scorer:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language index of each text."""
-        model, n_filters, languages = self.model, self.model.options.filters, len(self.model.languages)
         words = [t.lower().split() for t in texts]
         new = set().union(*words).difference(self.memo)
         if new:
             self._learn(sorted(new))
         lengths = np.array([len(w) for w in words])
         index = np.fromiter((i for w in words for i in map(self.memo.__getitem__, w)), dtype=np.int64, count=int(lengths.sum()))
-        best = np.full((len(texts), n_filters * len(WIDTHS)), -1e9, dtype=np.float32)
-        tongue = np.zeros((len(texts), max(1, languages)))
-        owner = np.repeat(np.arange(len(texts)), lengths)
+        logit, tongue = self.forward(self.vectors, index, lengths)
+        self._trim(new)
+        return logit, tongue
+
+    def forward(self, vectors: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and language index of texts whose words' vectors are named by ``index``, text after text."""
+        model, n_filters, languages, n = self.model, self.model.options.filters, len(self.model.languages), len(lengths)
+        best = np.full((n, n_filters * len(WIDTHS)), -1e9, dtype=np.float32)
+        tongue = np.zeros((n, max(1, languages)))
+        owner = np.repeat(np.arange(n), lengths)
         ends = np.cumsum(lengths)
         for lo in range(0, len(index), WORDS_AT_ONCE):
             hi = min(len(index), lo + WORDS_AT_ONCE)
             far = min(len(index), hi + max(WIDTHS) - 1)
-            x = self.vectors[index[lo:far]]
+            x = vectors[index[lo:far]]
             docs = owner[lo:hi]
             starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
             column = 0
             for k, width in enumerate(WIDTHS):
-                n = min(hi, len(index) - width + 1) - lo
-                if n > 0:
-                    y = x[:n, column : column + n_filters].copy()
+                here = min(hi, len(index) - width + 1) - lo
+                if here > 0:
+                    y = x[:here, column : column + n_filters].copy()
                     for j in range(1, width):
-                        y += x[j : j + n, column + j * n_filters : column + (j + 1) * n_filters]
+                        y += x[j : j + here, column + j * n_filters : column + (j + 1) * n_filters]
                     if width > 1:
-                        y[np.arange(lo, lo + n) + width > ends[docs[:n]]] = -1e9
-                    s = starts[starts < n]
+                        y[np.arange(lo, lo + here) + width > ends[docs[:here]]] = -1e9
+                    s = starts[starts < here]
                     into = best[:, k * n_filters : (k + 1) * n_filters]
                     into[docs[s]] = np.maximum(into[docs[s]], np.maximum.reduceat(y, s, axis=0))
                 column += width * n_filters
             if languages:
                 tongue[docs[starts]] += np.add.reduceat(x[: hi - lo, -languages:], starts, axis=0)
-        self._trim(new)
         pooled = np.maximum(best + model.bias, 0)
         return pooled @ model.dense + model.offset, tongue.argmax(axis=1)
 
@@ -194,20 +203,32 @@ def _midpoint(logit: np.ndarray, label: np.ndarray) -> float:
     return float(s[k + 1] + GAP_SHARE * (s[k] - s[k + 1]) if k + 1 < len(s) else s[k] - 1)
 
 
+def hashed_words(text: str) -> np.ndarray:
+    """The three buckets of every word of a text, in order."""
+    return np.array([x for w in text.lower().split() for x in buckets_of(w)], dtype=np.uint32).reshape(-1, 3)
+
+
 def train(texts: list[str], labels: list[int], langs: list[str | None], options: Options = Options()) -> Model:
-    """Fit on given rows; every fifth row is kept back to calibrate the thresholds."""
+    """Fit on given texts."""
+    return train_on([hashed_words(t) for t in texts], labels, langs, options)
+
+
+def train_on(hashed_texts: list[np.ndarray], labels: list[int], langs: list[str | None], options: Options = Options()) -> Model:
+    """Fit on the hashed words of texts; every fifth row is kept back to calibrate the thresholds."""
     rng = np.random.default_rng(options.seed)
     y = np.asarray(labels, dtype=np.float32)
-    memo: dict[str, int] = {}
-    docs = []
-    for t in texts:  # one text's words at a time, as the driver holds the whole sample
-        ws = t.lower().split()
-        docs.append(np.fromiter((memo.setdefault(w, len(memo)) for w in ws), dtype=np.int32, count=len(ws)))
+    # distinct words by their buckets, and each text as their numbers
+    whole = np.concatenate([np.zeros((0, 3), dtype=np.uint32), *hashed_texts])
+    names_of = np.ascontiguousarray(whole).view([("", np.uint32)] * 3).ravel()
+    words, place = np.unique(names_of, return_inverse=True)
+    docs = np.split(place.astype(np.int32), np.cumsum([len(t) for t in hashed_texts])[:-1]) if hashed_texts else []
+    buckets = words.view(np.uint32).reshape(-1)
+    n_words = len(words)
+    del whole, names_of, words, place
     held = np.arange(len(docs)) % 5 == 4
     fit = np.flatnonzero(~held)
     # what the sample shows too rarely stays nothing, then and for texts to come
-    buckets = np.fromiter((b for w in memo for b in buckets_of(w)), dtype=np.uint32, count=3 * len(memo))
-    del memo
+    assert len(buckets) == 3 * n_words
     hashed, feats = np.unique(np.append(np.uint32(0), buckets), return_inverse=True)
     feats = feats[1:].astype(np.int32).reshape(-1, 3)
     shown = np.zeros(len(hashed), dtype=np.int64)
@@ -295,8 +316,11 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], options:
             offset -= np.float32(options.rate * 5) * g.sum()
     model = Model(options, keys, table, kernels, bias, dense, float(offset), names, language_table, np.zeros(len(names)))
     scorer = Scorer(model)
-    logit = np.concatenate([np.zeros(0), *[scorer.logits(texts[i : i + 200])[0] for i in range(0, len(texts), 200)]])
-    told = np.concatenate([np.zeros(0, dtype=int), *[scorer.logits(texts[i : i + 200])[1] for i in range(0, len(texts), 200)]])
+    vectors = scorer.vectors_of(feats)
+    parts = [docs[i : i + 200] for i in range(0, len(docs), 200)]
+    done = [scorer.forward(vectors, np.concatenate(part), np.array([len(d) for d in part])) for part in parts]
+    logit = np.concatenate([np.zeros(0), *[x for x, _ in done]])
+    told = np.concatenate([np.zeros(0, dtype=int), *[k for _, k in done]])
     enough = lambda m: (y[m] == 1).sum() >= 15 and (y[m] == 0).sum() >= 15
     everyone = held if enough(held) else np.ones(len(y), dtype=bool)
     overall = _midpoint(logit[everyone], y[everyone]) if len(y) and 0 < y[everyone].sum() < everyone.sum() else 0.0
@@ -307,29 +331,48 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], options:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, where, sizes: dict[int, int], longest: int) -> pd.DataFrame:
-    """At most ``sizes[v]`` labelled documents of each label v, in an order hashed from doc_id, with their texts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, where, sizes: dict[int, int], longest: int) -> list[tuple[int, int, int]]:
+    """(doc_id, label, words) of at most ``sizes[v]`` labelled documents of each label v, in an order hashed
+    from doc_id, among those of at most ``longest`` words.
 
-    Only this bounded sample passes the driver; ids are chosen first, so texts of other
-    rows are not moved.  Rows of one doc_id with several labels count by their largest.
+    The words are counted where the texts lie, and only these bounded rows pass the driver.
+    Rows of one doc_id with several labels count by their largest, with several texts by the longest.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).alias("label")).where(where)
-    chosen = None
-    for value, n in sizes.items():
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = [(r[0], int(r[1])) for r in chosen.collect()]
-    few = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    found = texts.where(F.length("text") <= longest).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
-    return found.toPandas().sort_values("doc_id", ignore_index=True).sample(frac=1, random_state=1, ignore_index=True)
+    known = known.where(F.col("label").isin(*sizes))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text") - F.length(F.translate("text", " \\n", "")) + 1, F.lit(0)).alias("words"))
+    full = sized.join(known, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("words").alias("words")).where(F.col("words") <= longest)
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    kept = full.withColumn("n", F.row_number().over(first)).where(F.col("n") <= F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("label")))
+    return [(r["doc_id"], int(r["label"]), r["words"]) for r in kept.orderBy("label", "n").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    """Train on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0)."""
+    """Train on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0).
+
+    Of the sample's texts the driver sees hashed words, twelve bytes each, of ``words`` words
+    at most: rows beyond that are left out in the sample's order.
+    """
     rows = labelled_sample(docs, labels, "toxic", common.fold_of("doc_id", 5) != 0, {1: options.positives, 0: options.negatives}, options.longest)
-    return train(rows["text"].tolist(), rows["label"].tolist(), [x if isinstance(x, str) else None for x in rows["lang"]], options)
+    room = {1: options.words // 3, 0: options.words - options.words // 3}
+    chosen = []
+    for doc_id, label, n in rows:
+        if n <= room[label]:
+            room[label] -= n
+            chosen.append((doc_id, label))
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(few), "doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("lang", pa.string()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.narrow_batches(batches, 200):
+            yield common.batch_of(schema, [batch["doc_id"], batch["label"], batch["lang"], [hashed_words(t).tobytes() for t in batch["text"].to_pylist()]])
+
+    found = texts.select("doc_id", "label", "lang", "text").mapInArrow(run, "doc_id long, label int, lang string, words binary").dropDuplicates(["doc_id"]).toPandas()
+    found = found.sort_values("doc_id", ignore_index=True).sample(frac=1, random_state=1, ignore_index=True)
+    hashed = [np.frombuffer(w, dtype=np.uint32).reshape(-1, 3) for w in found["words"]]
+    return train_on(hashed, found["label"].tolist(), [x if isinstance(x, str) else None for x in found["lang"]], options)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str, keep: list[str]) -> DataFrame:
@@ -348,7 +391,8 @@ def with_scores(docs: DataFrame, model: Model, column: str, keep: list[str]) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
-    A null or empty text is scored as a text without words; a null doc_id stays null and
+    A null or empty text is scored as a text without words; a text of any length is scored
+    whole; a score of 0.5 itself is toxic; a null doc_id stays null and
     counts as not held out; repeated rows score alike; extra columns are not read; an empty
     table gives no rows.  Without labels of both kinds the model keeps its untrained logit.
     """
@@ -357,7 +401,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
+    """The documents that are not predicted toxic, with their own columns.
+
+    Null and empty texts, rows without a doc_id and repeated rows are judged as by ``score``; an
+    empty table stays empty.
+    """
     column = "toxicity_score"
     while column in docs.columns:
         column += "_"

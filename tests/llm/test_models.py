@@ -189,3 +189,57 @@ def test_forest_scores_strangers_higher():
     assert forest.score(np.array([[3.0, 3, 3]]))[0] > np.quantile(forest.score(rows), 0.99)
     assert quality.Forest(rows[:0], quality.Options()).score(rows[:2]).tolist() == [0, 0]
     assert abs(float(quality.expected_path(256)) - 10.24) < 0.1
+
+
+def test_the_forward_pass_by_hand(toxic):
+    docs, labels, _ = toxic
+    model = toxicity.fit(docs, labels, toxicity.Options(epochs=1))
+    texts = [r["text"] for r in docs.select("text").limit(20).collect()] + ["", "one", "vilecrap two"]
+    known = {int(k): i for i, k in enumerate(model.keys)}
+    for text, logit in zip(texts, toxicity.Scorer(model).logits(texts)[0], strict=True):
+        words = [[known.get(b, 0) for b in toxicity.buckets_of(w)] for w in text.lower().split()]
+        embedded = [sum(model.table[r].astype(float) for r in rows) for rows in words]
+        total = model.offset
+        for k, (width, kernel) in enumerate(zip(toxicity.WIDTHS, model.kernels, strict=True)):
+            for f in range(model.options.filters):
+                place = k * model.options.filters + f
+                values = [sum(embedded[a + j] @ kernel[j][:, f] for j in range(width)) for a in range(len(words) - width + 1)]
+                total += max(0.0, max(values, default=-1e9) + model.bias[place]) * model.dense[place]
+        assert abs(total - logit) < 1e-3
+
+
+def test_the_sample_is_bounded_in_words(spark, toxic):
+    docs, labels, _ = toxic
+    whole = toxicity.labelled_sample(docs, labels, "toxic", toxicity.F.lit(True), {1: 30, 0: 50}, 10_000)
+    assert [sum(1 for r in whole if r[1] == y) for y in (1, 0)] == [30, 50]
+    short = toxicity.labelled_sample(docs, labels, "toxic", toxicity.F.lit(True), {1: 30, 0: 50}, 20)
+    assert len(short) > 30 and all(n <= 20 for *_, n in short)  # longer texts make room for the next ones
+    small = toxicity.fit(docs, labels, toxicity.Options(epochs=1, words=300))
+    assert 1 < len(small.keys) < len(toxicity.fit(docs, labels, toxicity.Options(epochs=1)).keys)
+
+
+def test_path_lengths_by_hand():
+    """The anomaly of each row from its way down every tree, one node at a time."""
+    rng = np.random.default_rng(3)
+    rows = rng.beta(1, 6, (300, 4)).round(2)
+    forest = quality.Forest(rows, quality.Options(trees=9, rows_a_tree=64))
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    for x, anomaly in zip(rows[:60], forest.score(rows[:60]), strict=True):
+        lengths = []
+        for feature, split, left, length in forest.trees:
+            node, depth = 0, 0
+            while feature[node] >= 0:
+                node, depth = left[node] + int(x[feature[node]] >= split[node]), depth + 1
+            assert length[node] >= depth  # what lies below a cut tree is estimated
+            lengths.append(length[node])
+        assert abs(anomaly - 2 ** (-np.mean(lengths) / expected(64))) < 1e-9
+    # a leaf's length is its depth and the expected path of the rows that ended there
+    one = quality.Forest(rows[:8], quality.Options(trees=1, rows_a_tree=8))
+    feature, split, left, length = one.trees[0]
+    ends = {}
+    for x in rows[:8]:
+        node, depth = 0, 0
+        while feature[node] >= 0:
+            node, depth = left[node] + int(x[feature[node]] >= split[node]), depth + 1
+        ends.setdefault(node, []).append(depth)
+    assert all(abs(length[node] - (d[0] + expected(len(d)))) < 1e-6 for node, d in ends.items())
