@@ -74,7 +74,9 @@ class TokenIds:
     each chunk is encoded once per process and looked up afterwards.  New chunks are given
     to the library many at a time, with a separator between them whose id no chunk has.
     A text with any other white space, or with more of it at once, goes to the library
-    whole.  Special-token strings inside texts are ordinary text.
+    whole.  Special-token strings inside texts are ordinary text, as the tokenizers' own
+    instructions (README.md beside the files) set the library up: an id that ends documents
+    must not come out of a document's text.
     """
 
     #: White space other than space and line feed, by the widest of the engines' definitions.

@@ -41,8 +41,9 @@ def binary_lengths(n: int, longest: int) -> list[int]:
 def decompose(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, task, rank, ids (little-endian uint32).
 
-    A null or empty text is one piece that holds the end id alone; a null doc_id stays
-    null; repeated rows are documents of their own; extra columns are not read; an empty
+    A null or empty text is one piece that holds the end id alone; a text of any length is
+    cut whole; pieces of one length are numbered by task and place, so there are no ties; a
+    null doc_id stays null; repeated rows are documents of their own; extra columns are not read; an empty
     table gives no pieces.  ``task`` and ``rank`` number pieces of one length within the
     task that made them, and mean nothing until the frame has been written.
     """
@@ -90,7 +91,7 @@ def pack(docs: DataFrame, path: str, **options) -> DataFrame:
 
 
 def pack_digests(docs: DataFrame, **options) -> DataFrame:
-    """One row per piece with the unsigned crc32 of its ids in place of the ids."""
+    """One row per piece with the unsigned crc32 of its ids in place of the ids; rows as by ``decompose``."""
     digests = decompose(docs, **options).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     numbered = number_sequences(write_table(digests, "pieces"))
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

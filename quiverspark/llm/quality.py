@@ -2,7 +2,9 @@
 
 A narrow map counts, over each whole text, what quality rules look at: words, symbols,
 repeated lines and windows, capitals, bars, exclamation marks, distinct words.  Each
-statistic counts from the point where its rule begins to bite, so lawful variety is flat.  Two plain rules reject first.
+statistic counts from the point where its rule begins to bite, so lawful variety is flat: on
+raw statistics the forest isolates lawful texts first (the README has the figures).  Two plain
+rules reject first.
 The verdict on the rest is an isolation forest's: random splits isolate unusual rows
 in few steps, so the mean path length over the trees, set against what a random binary
 tree would need, is an anomaly score.  The forest grows on a bounded sample of documents;
@@ -252,8 +254,9 @@ def judge(rows: DataFrame, model: Model) -> DataFrame:
 def verdicts(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and anomaly of every row.
 
-    A null, empty or blank text has no words and fails; a null doc_id stays null; repeated
-    rows are judged alike; extra columns are not read; an empty table gives no rows.  Without
+    A null, empty or blank text has no words and fails; a text of any length is counted whole;
+    an anomaly at the threshold itself is kept; a null doc_id stays null; repeated rows are
+    judged alike; extra columns are not read; an empty table gives no rows.  Without
     labels of both kinds only the plain rules reject.
     """
     rows = write_table(measured(docs), "measured")
@@ -261,7 +264,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, options: Options = Options()) -
 
 
 def rule_abiding(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The documents that are kept, with their own columns; one narrow pass over the texts to measure and one to keep."""
+    """The documents that are kept, with their own columns; one narrow pass over the texts to measure and one to keep.
+
+    Rows are judged as by ``verdicts``: null, empty and blank texts go, rows without a doc_id and
+    repeated rows stay or go by their texts, an empty table stays empty.
+    """
     model = fit(write_table(measured(docs), "measured"), labels, options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
