@@ -247,14 +247,15 @@ def v01l(g):
 
 
 @registered("v01_many_queries", """
-, q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+, q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query, kind, id, facet, round(list_inner_product(CAST(embedding AS DOUBLE[]), q.v), 9) AS score FROM owners JOIN embeddings USING (vec_id) CROSS JOIN q WHERE kind = 0),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, kind, id ORDER BY score DESC, facet) = 1),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, kind DESC, id DESC) <= 10)
-SELECT CAST(query AS INTEGER) AS query, CAST(kind AS TINYINT) AS kind, id, CAST(facet AS INTEGER) AS facet, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, kind, id) AS INTEGER) AS rank FROM t""")
+SELECT CAST(query // 20 AS INTEGER) AS query, CAST(kind AS TINYINT) AS kind, id, CAST(facet AS INTEGER) AS facet, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, kind, id) AS INTEGER) AS rank FROM t""")
 def v01m(g):
-    rows = g.vectors.where((F.col("kind") == NODE) & (F.col("label") == "Nation") & (F.col("facet") == 0) & (F.col("id") < 20 * 8)).orderBy("id").select("vec").collect()
-    return _rounded(vectors.vector_search_many(g, [[float(x) for x in r[0]] for r in rows], 10, NODES), "score")
+    """Every twentieth vector asks, all in one job."""
+    asked = g.vectors.where("kind = 0 AND label = 'Nation'").select((F.col("facet") * 25 + F.floor(F.col("id") / 8)).alias("vec_id"), "vec").where("vec_id % 20 = 0").orderBy("vec_id").collect()
+    return _rounded(vectors.vector_search_many(g, [[float(x) for x in r["vec"]] for r in asked], 10, NODES), "score")
 
 
 @registered("v02_vector_search_within", _hits_sql("kind = 0 AND id IN (SELECT p_partkey * 8 + 4 FROM part WHERE p_size <= 10)"))
@@ -415,14 +416,9 @@ def q02u(g):
     return pattern.query(g, "MATCH (c:Nobody)-[r:PLACED]->(o:Order) RETURN c")
 
 
-@registered("q03_query_text")
-def q03(g):
-    return _rounded(pattern.query_text(g, "MATCH (p:Part)-[s:SUPPLIED_BY]->(x:Supplier) RETURN p LIMIT 10", embedding.hash_embedding, "a small part"), "score", "start_score", "edge_score", "end_score")
-
-
-@registered("q05_concise", "SELECT id, label, concise FROM (SELECT CAST(n_nationkey AS BIGINT) * 8 + 1 AS id, 'Nation' AS label, n_name AS concise FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT) * 8, 'Region', r_name FROM region)")
+@registered("q05_concise", f"""{PROPS_SQL} SELECT n.id, n.label, t.s AS concise FROM nodes n LEFT JOIN texts t ON t.id = n.id AND t.key = 'name'""")
 def q05(g):
-    return pattern.concise(g.nodes.where(F.col("label").isin("Nation", "Region"))).select("id", "label", "concise")
+    return pattern.concise(g.nodes).select("id", "label", "concise")
 
 
 # --- G: analytics ---------------------------------------------------------------------------------
@@ -468,14 +464,9 @@ def x01(g):
     return _rounded(explore.lexical_search(g, "NATION_7", 20), "score")
 
 
-@registered("x02_hybrid")
-def x02(g):
-    return _rounded(explore.hybrid_search(g, "NATION_7", 10).hits, "score", "lexical", "semantic")
-
-
-@registered("x03_titles", "SELECT CAST(0 AS TINYINT) AS kind, CAST(n_nationkey AS BIGINT) * 8 + 1 AS id, 'Nation' AS label, n_name AS title FROM nation")
+@registered("x03_titles", f"""{PROPS_SQL} SELECT CAST(0 AS TINYINT) AS kind, n.id, n.label, coalesce(t.s, n.label || ' ' || n.id) AS title FROM nodes n LEFT JOIN texts t ON t.id = n.id AND t.key = 'name'""")
 def x03(g):
-    return explore.titled(g, filters.elements_with_label(g, "Nation", NODES)).select("kind", "id", "label", "title")
+    return explore.titled(g, g.elements_of(NODES).select("kind", "id")).select("kind", "id", "label", "title")
 
 
 @registered("x05_snapshot")

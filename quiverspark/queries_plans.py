@@ -391,3 +391,41 @@ SELECT named.id, named.s AS priority, round(coalesce(x, 0) / norm, 4) + 0.0 AS f
 def e03(g):
     rows = g.nodes.where("label = 'Order'").select("id", F.col("props")["priority"]["s"].alias("priority"))
     return embedding.embed_unique(rows, "priority", None, 64).select("id", "priority", (F.round(F.col("embedding")[9].cast("double"), 4) + 0.0).alias("first"))
+
+
+def _asked_sql(words: str) -> str:
+    """q(v): the hash embedding of some words, in 32 bits as the embedder gives it."""
+    return f", asked AS (SELECT 0 AS id, '{words}' AS s)" + _embedded_sql("asked") + """, q AS (SELECT list(coalesce(CAST(CAST(x AS FLOAT) / CAST(norm AS FLOAT) AS DOUBLE), 0) ORDER BY i) AS v FROM (SELECT unnest(range(64)) AS i) LEFT JOIN cells ON cells.k = i CROSS JOIN norms)"""
+
+
+_LEXICAL = lambda t, w: f"CASE WHEN {t} = 'nation_7' THEN {w} * (1.4::DOUBLE + 1) WHEN contains({t}, 'nation_7') THEN {w} * (0.9::DOUBLE + 1) ELSE 0 END"
+
+
+@registered("x02_hybrid", PROPS_SQL + _asked_sql("NATION_7") + f""", named AS (SELECT 0 AS kind, id, label FROM nodes UNION ALL SELECT 1, id, label FROM edges),
+sc AS (SELECT kind, id, {_LEXICAL("lower(label)", 1.2)} AS s FROM named UNION ALL SELECT 0, id, CASE key WHEN 'name' THEN {_LEXICAL("lower(s)", 1.5)} ELSE {_LEXICAL("lower(s)", 0.55)} END FROM texts),
+lx AS (SELECT kind, id, round(sum(s), 9) AS s FROM sc GROUP BY kind, id HAVING sum(s) > 0 ORDER BY s DESC, kind, id LIMIT 60),
+l AS (SELECT kind, id, least(1.0, s / (SELECT max(s) FROM lx)) AS lexical FROM lx),
+s AS (SELECT kind, id, facet, round(list_inner_product(CAST(embedding AS DOUBLE[]), q.v), 9) AS score FROM owners JOIN embeddings USING (vec_id) CROSS JOIN q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY score DESC, facet) = 1),
+m AS (SELECT kind, id, facet, greatest(0.0, least(1.0, (score + 1) / 2)) AS semantic FROM (SELECT * FROM b ORDER BY score DESC, kind DESC, id DESC LIMIT 60)),
+h AS (SELECT kind, id, facet, lexical, semantic, round(coalesce(lexical, 0) * 0.46::DOUBLE + coalesce(semantic, 0) * 0.54::DOUBLE, 9) AS score FROM l FULL JOIN m USING (kind, id) ORDER BY score DESC, kind, id LIMIT 10)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, kind, id) AS INTEGER) AS rank, CAST(kind AS TINYINT) AS kind, id, round(score, 5) AS score, round(lexical, 5) AS lexical, round(semantic, 5) AS semantic, CAST(facet AS INTEGER) AS facet FROM h""")
+def x02(g):
+    hits = explore.hybrid_search(g, "NATION_7", 10).hits
+    for c in ("score", "lexical", "semantic"):
+        hits = hits.withColumn(c, F.round(c, 5))
+    return hits
+
+
+@registered("q03_query_text", _asked_sql("a small part") + """,
+s AS (SELECT kind, id, max(round(list_inner_product(CAST(embedding AS DOUBLE[]), q.v), 9)) AS score FROM owners JOIN embeddings USING (vec_id) CROSS JOIN q GROUP BY kind, id),
+seeds AS (SELECT s.id, s.score FROM s JOIN nodes USING (id) WHERE kind = 0 AND label = 'Part' ORDER BY score DESC, id DESC LIMIT 80),
+m AS (SELECT w.node AS start, w.edge, w.neighbor AS "end", seeds.score AS start_score, e.score AS edge_score, t.score AS end_score FROM walk w JOIN seeds ON w.node = seeds.id JOIN nodes x ON x.id = w.neighbor AND x.label = 'Supplier'
+  LEFT JOIN s e ON e.kind = 1 AND e.id = w.edge LEFT JOIN s t ON t.kind = 0 AND t.id = w.neighbor WHERE w.label = 'SUPPLIED_BY' AND w.direction = 0),
+r AS (SELECT *, round((start_score * 0.5 + coalesce(edge_score * 0.25, 0) + coalesce(end_score * 0.25, 0)) / (0.5 + CASE WHEN edge_score IS NULL THEN 0 ELSE 0.25 END + CASE WHEN end_score IS NULL THEN 0 ELSE 0.25 END), 9) AS score FROM m)
+SELECT start, edge, "end", round(score, 5) AS score, round(start_score, 5) AS start_score, round(edge_score, 5) AS edge_score, round(end_score, 5) AS end_score FROM r ORDER BY r.score DESC, start, edge, "end" LIMIT 10""")
+def q03(g):
+    found = pattern.query_text(g, "MATCH (p:Part)-[s:SUPPLIED_BY]->(x:Supplier) RETURN p LIMIT 10", embedding.hash_embedding, "a small part")
+    for c in ("score", "start_score", "edge_score", "end_score"):
+        found = found.withColumn(c, F.round(c, 5))
+    return found
