@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,16 +335,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, where, size
     """(doc_id, label, words) of at most ``sizes[v]`` labelled documents of each label v, in an order hashed
     from doc_id, among those of at most ``longest`` words.
 
-    The words are counted where the texts lie, and only these bounded rows pass the driver.
-    Rows of one doc_id with several labels count by their largest, with several texts by the longest.
+    Ids are chosen from the labels first, twice as many as are wanted, and more where too many
+    of their texts are too long or missing; words are counted for these alone, where the texts
+    lie.  Rows of one doc_id with several labels count by their largest, with several texts by the longest.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).alias("label")).where(where)
-    known = known.where(F.col("label").isin(*sizes))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text") - F.length(F.translate("text", " \\n", "")) + 1, F.lit(0)).alias("words"))
-    full = sized.join(known, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("words").alias("words")).where(F.col("words") <= longest)
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    kept = full.withColumn("n", F.row_number().over(first)).where(F.col("n") <= F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("label")))
-    return [(r["doc_id"], int(r["label"]), r["words"]) for r in kept.orderBy("label", "n").collect()]
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = (F.length("text") - F.length(F.translate("text", " \n", "")) + 1).alias("words")
+    chosen, factor, left = {}, 2, dict(sizes)
+    while left:  # one scan of the texts for all labels that are not done
+        ids = {v: [r[0] for r in known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(factor * n).select("doc_id").collect()] for v, n in left.items()}
+        few = docs.sparkSession.createDataFrame([(i,) for v in ids for i in ids[v]], "doc_id long")
+        found = dict(text.join(F.broadcast(few), "doc_id").select("doc_id", words).groupBy("doc_id").agg(F.max("words")).collect())
+        for v, n in list(left.items()):
+            chosen[v] = [(i, v, found[i]) for i in ids[v] if found.get(i, longest + 1) <= longest][:n]
+            if len(chosen[v]) == n or len(ids[v]) < factor * n:
+                del left[v]
+        factor *= 4
+    return [row for v in sizes for row in chosen[v]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
