@@ -46,6 +46,7 @@ class Options:
     projected: int | None = None  # even, for the closed form of the distribution; measured if None
     confidence: float = 0.96
     sample: int = 20_000  # classes for fitting the tree, and for choosing the projections
+    sample_numbers: int = 1 << 22  # components of that sample, which the driver holds: fewer classes of long vectors
     trees: int = 16  # lengths of vectors with a tree of their own
     leaf: int = 1024
     leaves: int = 1 << 14
@@ -57,6 +58,9 @@ class Options:
     def queries_at_once(self, d: int) -> int:
         return max(64, self.numbers_at_once // d)
 
+    def sampled(self, d: int) -> int:
+        return min(self.sample, max(64, self.sample_numbers // d))
+
 
 def chi_square_cdf(x: float, degrees: int) -> float:
     """For an even number of degrees."""
@@ -124,6 +128,7 @@ class Tree:
         at = 0
         while at < len(todo):
             part, a, b, share = todo[at]
+            todo[at] = None
             at += 1
             width = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(m)
             k = int(width.argmax())
@@ -262,6 +267,28 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, trees: Trees, option
     return visit_block(x, ids, q, queries["query"].to_numpy(), queries["bound"].to_numpy(dtype=np.float64), trees.of(x.shape[1]), options)[0]
 
 
+def sample_of(classes: DataFrame, d: int, n: int, options: Options) -> np.ndarray:
+    """The classes of length ``d`` with the smallest hashes, of ``n`` in all, as a matrix.
+
+    Each task of an ordered limit sends the driver that many rows, so hashes that cannot be
+    among the smallest are left out first: some hundred rows too many pass, whatever the
+    number of tasks.
+    """
+    wanted = options.sampled(d)
+    rows = classes.where(F.col("d") == d)
+    passing = wanted + 8 * math.isqrt(wanted) + 32
+    if passing < n:
+        rows = rows.where(F.col("class") < -(1 << 63) + (passing << 64) // n)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch["vector"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([batch["class"], pa.array([v.tobytes() for v in x], type=pa.binary())], names=["class", "vector"])
+
+    found = rows.select("class", "vector").mapInArrow(packed, "class long, vector binary").orderBy("class").limit(wanted).collect()
+    return np.frombuffer(b"".join(r["vector"] for r in found), dtype=np.float64).reshape(-1, d)
+
+
 SALTS = 16
 
 
@@ -284,8 +311,7 @@ def nearest(rows: DataFrame, is_query, options: Options = Options(), id_column:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     known = {}
     for d, n in lengths:
-        sample = classes.where(F.col("d") == d).orderBy("class").limit(options.sample).select("vector").toPandas()["vector"]
-        known[d] = Tree.fit(np.stack(sample.to_numpy()).astype(np.float64), n, options)
+        known[d] = Tree.fit(sample_of(classes, d, n, options), n, options)
     shared, version = spark.sparkContext.broadcast(Trees(known, options)), uuid.uuid4().hex
 
     def with_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +324,7 @@ def nearest(rows: DataFrame, is_query, options: Options = Options(), id_column:
     home = ["d", "leaf"]
     placed = write_table(classes.mapInArrow(with_leaf, "vector array<double>, ids array<long>, class long, d int, leaf int"), "placed")
     sizes = placed.groupBy(*home).agg(F.ceil(F.count("*") / options.block).cast("int").alias("blocks"))  # a row a leaf
+    sizes = F.broadcast(write_table(sizes, "sizes"))  # vectors must not be what a join broadcasts
     blocked = placed.join(sizes, home).select(*home, F.pmod("class", "blocks").cast("int").alias("block"), "ids", "vector")
     asked = found.where(is_query).select("id", "vector").distinct()
     queries = write_table(asked.groupBy("vector").agg(F.min("id").alias("query")).withColumn("class", F.xxhash64("vector")).withColumn("d", F.size("vector")), "queries")
@@ -315,7 +342,7 @@ def nearest(rows: DataFrame, is_query, options: Options = Options(), id_column:
         each block goes to the portions of its own visitors."""
         visits = write_table(visits, "visits")
         portions = visits.groupBy(*home, "block").agg(F.ceil(F.count("*") / at_once).cast("int").alias("portions"))  # a row a block
-        portions = write_table(portions, "portions")
+        portions = F.broadcast(write_table(portions, "portions"))
         right = visits.join(portions, [*home, "block"]).withColumn("portion", F.pmod(F.xxhash64("query"), "portions").cast("int")).drop("portions")
         left = blocked.join(portions, [*home, "block"]).withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
         return left.repartition(tasks, *place).groupBy(*place).cogroup(right.repartition(tasks, *place).groupBy(*place)).applyInPandas(block_of, NEAR)
@@ -343,7 +370,7 @@ def nearest(rows: DataFrame, is_query, options: Options = Options(), id_column:
     # share is dealt over some tasks, to each of which its one result goes
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    owners = asked.select("id", "vector", salt).join(queries.select("vector", "query", every), ["vector", "salt"]).select(F.col("id").alias("query_id"), "query", "salt")
+    owners = asked.select("id", "vector", salt).join(queries.select("vector", "query", every).hint("merge"), ["vector", "salt"]).select(F.col("id").alias("query_id"), "query", "salt")
     others = merged.select("query", "id", "distance", every).join(owners, ["query", "salt"]).where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id", "query"))
     return others.withColumn("rank", rank).where(F.col("rank") <= options.k).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))

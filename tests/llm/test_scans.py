@@ -309,6 +309,31 @@ def test_chi_square():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 
 
+def test_the_sample_for_the_tree_does_not_grow_on_the_driver_with_the_tasks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (16_000, 32)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(16)
+    classes = df.select(F.col("embedding").alias("vector"), F.xxhash64("embedding").alias("class"), F.size("embedding").alias("d"))
+    o, status = ann.Options(sample=500), spark.sparkContext._jsc.sc().statusStore()
+
+    def sent(run) -> tuple:
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(group := f"ann-{rng.integers(1 << 60)}", "")
+        out = run()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return out, sum(status.lastStageAttempt(s).resultSize() for s in stages)
+
+    got, bytes_sent = sent(lambda: ann.sample_of(classes, 32, len(x), o))
+    wanted = classes.orderBy("class").limit(500).collect()
+    assert (got == np.array([r["vector"] for r in wanted])).all()
+    assert bytes_sent < 16 * 500 * 32 * 8 / 4  # a sample from each task would be the whole of that
+    # and the whole search sends little more, though each task holds more rows than the sample
+    _, whole = sent(lambda: ann.nearest(df, F.col("id") % 1000 == 0, o).collect())
+    assert whole < 16 * 500 * 32 * 8 / 2
+    assert ann.Options(sample_numbers=1 << 22).sampled(1 << 14) == 256
+
+
 # --- the pipeline ------------------------------------------------------------------------
 
 
