@@ -243,3 +243,29 @@ def test_path_lengths_by_hand():
             node, depth = left[node] + int(x[feature[node]] >= split[node]), depth + 1
         ends.setdefault(node, []).append(depth)
     assert all(abs(length[node] - (d[0] + expected(len(d)))) < 1e-6 for node, d in ends.items())
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More rows than any sample of 7000: each bucket of four fitted documents is known, by counts of all of them."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(12_000):
+        bad = i % 9 == 0
+        words = [rng.choice(["river", "stone", "garden", "window"]) for _ in range(6)] + [f"rare{chr(97 + i // 24 // 26)}{chr(97 + i // 24 % 26)}x", f"vile{chr(97 + i % 7)}" if bad else "kind"]
+        docs.append((i, " ".join(words), "en"))
+        labels.append((i, int(bad)))
+    docs, labels = frame(spark, docs).repartition(5), labelled(spark, labels, "toxic")
+    F = toxicity.F
+    fitted = {r[0] for r in docs.where((toxicity.common.fold_of("doc_id", 5) != 0) & (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) != 4)).select("doc_id").collect()}
+    shown = {}
+    for r in docs.select("doc_id", "text").collect():
+        for b in {b for w in r["text"].split() for b in toxicity.buckets_of(w)} if r["doc_id"] in fitted else ():
+            shown[b] = shown.get(b, 0) + 1
+    model = toxicity.fit(docs, labels, toxicity.Options(epochs=2))
+    assert len(fitted) > 7000 and set(model.keys.tolist()) == {0} | {b for b, n in shown.items() if n >= 4}
+    got = toxicity.score(docs, model).where("held_out").select("doc_id", "predicted").collect()
+    assert len(got) > 2000 and all(r["predicted"] == (r["doc_id"] % 9 == 0) for r in got)
+    # a smaller model keeps what tells of the label
+    small = toxicity.fit(docs, labels, toxicity.Options(epochs=0, buckets=40))
+    assert 10 < len(small.keys) <= 41
+    assert all(toxicity.buckets_of(f"vile{c}")[0] in small.keys for c in "abcdefg")
