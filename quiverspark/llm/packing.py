@@ -25,7 +25,7 @@ from quiverspark.plans.workspace import write_table
 
 MAX_TOKENS = 2048
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 400_000  # where other stages' memory is in the same executors
 TOKENIZER = "byte_bpe_50k.json"
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int64()), ("rank", pa.int64()), ("ids", pa.binary())])
@@ -38,21 +38,22 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def decompose(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def decompose(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, task, rank, ids (little-endian uint32).
 
     A null or empty text is one piece that holds the end id alone; a text of any length is
     cut whole; pieces of one length are numbered by task and place, so there are no ties; a
     null doc_id stays null; repeated rows are documents of their own; extra columns are not read; an empty
     table gives no pieces.  ``task`` and ``rank`` number pieces of one length within the
-    task that made them, and mean nothing until the frame has been written.
+    task that made them, and mean nothing until the frame has been written.  ``memo_words`` bounds the chunks that a
+    process remembers, which costs memory and spares encoding; pieces do not depend on it.
     """
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, ranks = common.tokenizer(tokenizer, MEMO_WORDS), TaskContext.get().partitionId(), {}
+        ids_of, task, ranks = common.tokenizer(tokenizer, memo_words), TaskContext.get().partitionId(), {}
         for batch in common.narrow_batches(batches, 500):
             rows: list[tuple] = []
             for doc_id, data in zip(batch["doc_id"].to_pylist(), ids_of.encode(batch["text"].to_pylist()), strict=True):
@@ -99,4 +100,4 @@ def pack_digests(docs: DataFrame, **options) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return pack_digests(common.table(spark, sf_dir, "documents"))
+    return pack_digests(common.table(spark, sf_dir, "documents"), memo_words=common.MEMO_WORDS)

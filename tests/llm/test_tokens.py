@@ -205,3 +205,14 @@ def test_round_trips(spark):
     mark = spm.round_trips(frame(spark, [(1, "a\u2581b", "en")])).first()
     assert not mark["same"] and mark["text"] == "a b"
     assert spm.round_trips(empty(spark)).count() == 0
+
+
+def test_a_process_holds_the_memo_that_was_asked_for():
+    """Packing alone remembers more than as a stage; a worker that has served one must not serve the other by it."""
+    texts = ["a few words\nand lines", "and words of a few others", ""]
+    few, many = common.tokenizer(packing.TOKENIZER, 2), None
+    one = [few.encode([t]) for t in texts]
+    assert len(few.memo) <= 7
+    many = common.tokenizer(packing.TOKENIZER, 1000)
+    assert (few.memo_words, many.memo_words) == (2, 1000)
+    assert [many.encode([t]) for t in texts] == one
