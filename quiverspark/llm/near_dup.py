@@ -353,7 +353,7 @@ def linked_blocks(heads: DataFrame, cut: float, threshold: int) -> DataFrame:
     return heads.mapInArrow(run, "kind tinyint, a long, b long")
 
 
-def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], cut: float, threshold: int, partitions: int) -> tuple[DataFrame, list[DataFrame]]:
+def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], cut: float, threshold: int, partitions: int) -> tuple[DataFrame, list[DataFrame]]:
     """(rep, comp) of the classes of crowded buckets, and the links that made the groups.
 
     At first every class counts in one bucket, so a group lies in one bucket too and its rows,
@@ -375,7 +375,7 @@ def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFra
         dealt, n = write_counted(dealt, "heads")
         if not n or turn and n > 0.9 * before:
             return None, n
-        full = dealt.join(classes.select("rep", "n_shingles", "bits"), "rep").join(sets_of(dealt.select("rep")), "rep")
+        full = dealt.join(classes.select("rep", "n_shingles", "bits"), "rep").join(sets_of(dealt.select("rep"), n), "rep")
         told = write_table(linked_blocks(grouped(full, ["band", "key", "block"], partitions), cut, threshold), "contracted")
         links.append(told.where(F.col("kind") == LINK).select(F.col("a").alias("source"), F.col("b").alias("target")))
         return told.where(F.col("kind") == MERGED).select(F.col("a").alias("comp"), F.col("b").alias("name")), n
@@ -454,13 +454,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     crowded = banded.groupBy("band", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     placed, seen = write_observed(banded.join(crowded, ["band", "key"]), "placed", blocks=F.max("blocks"))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return shingle_sets(docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    def sets_of(wanted: DataFrame, n: int) -> DataFrame:
+        ids = wanted.select(F.col("rep").alias("doc_id"))
+        possible = common.with_possible(docs.select("doc_id", "text"), ids, n).where("possible")
+        return shingle_sets(possible.join(ids.distinct(), "doc_id", "left_semi"), words)
 
     groups, made = contracted(placed, classes, sets_of, cut, threshold, partitions) if (seen["blocks"] or 0) > 1 else (None, [])
     buckets = left_to_compare(placed, groups).join(classes, "rep")
-    kept = write_table(likely(grouped(buckets, KEYS, partitions), cut, threshold), "likely")
-    links = confirmed(grouped(kept.join(sets_of(kept), "rep"), KEYS, partitions), threshold)
+    kept, n = write_counted(likely(grouped(buckets, KEYS, partitions), cut, threshold), "likely")
+    links = confirmed(grouped(kept.join(sets_of(kept, n), "rep"), KEYS, partitions), threshold)
     for more in made:
         links = links.unionByName(more)
     repeated = filled.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -476,9 +478,15 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Of a group the row of the smallest doc_id stays, and rows that repeat this id stay with it;
     null, empty and blank texts and rows without a doc_id stay; an empty table stays empty.
+    Rows are shuffled only where their id may be one of those that go.
     """
-    drop = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop, n = write_counted(near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct(), "dropped")
+    column = "may_go"
+    while column in docs.columns:
+        column += "_"
+    told = common.with_possible(docs, drop, n, column)
+    stay = told.where(~F.col(column)).select(*docs.columns)
+    return stay.unionByName(told.where(column).join(drop, "doc_id", "left_anti").select(*docs.columns))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

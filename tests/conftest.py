@@ -29,6 +29,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    """Joins as of large tables."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
 def rows(df):
     """All rows as sorted tuples."""
     return sorted(map(tuple, df.collect()))

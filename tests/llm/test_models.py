@@ -271,16 +271,6 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert all(toxicity.buckets_of(f"vile{c}")[0] in small.keys for c in "abcdefg")
 
 
-@pytest.fixture
-def no_broadcasts(spark):
-    """Joins as of large tables."""
-    name = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "-1")
-    yield
-    spark.conf.set(name, before)
-
-
 def test_toxicity_moves_labelled_texts_alone_and_once(spark, no_broadcasts):
     """Texts without a label, here nine in ten, stay where they lie; the others are shuffled once to their shards."""
     rng = random.Random(12)

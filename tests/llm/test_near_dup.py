@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quiverspark.llm import near_dup
-from tests.llm.helpers import LONG, empty, frame, prose, tricky
+from tests.llm.helpers import LONG, empty, frame, prose, shuffled_bytes, tricky
 
 
 def shingles(text, n=5):
@@ -138,3 +138,17 @@ def test_estimates_follow_similarity():
             found.append(near_dup.estimate(*bits)[0])
         truth = 300 / (300 + 2 * n)
         assert abs(np.mean(found) - truth) < 4 * np.sqrt(truth * (1 - truth) / near_dup.HASHES / 40) * 16 / 15 + 0.01
+
+
+def test_texts_that_stay_are_not_shuffled(spark, no_broadcasts):
+    """Only texts to be confirmed, and rows that may go, move; here 20 of 300 have a partner."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(290)]
+    texts += [f"{t} and more" for t in texts[:10]]
+    docs = frame(spark, [*((i, t, "en") for i, t in enumerate(texts)), (None, texts[0], "en"), (300, None, "en")]).repartition(4).cache()
+    assert docs.count() == 302
+    whole, kept = shuffled_bytes(spark, lambda: docs.repartition(3).write.format("noop").mode("overwrite").save()), []
+    moved = shuffled_bytes(spark, lambda: kept.extend(near_dup.deduplicated(docs).select("doc_id", "text").collect()))
+    docs.unpersist()
+    assert sorted((-1 if r[0] is None else r[0], r[1]) for r in kept if r[1] is not None) == sorted([(-1, texts[0]), *enumerate(texts[:290])]) and len(kept) == 292
+    assert moved < 0.7 * whole
