@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quiverspark.llm import common
 from quiverspark.operators.components import connected_components
-from quiverspark.plans.workspace import partitions_for, write_counted, write_observed, write_table
+from quiverspark.plans.workspace import drop_table, partitions_for, write_counted, write_observed, write_table
 
 WORDS = 5
 BANDS, ROWS, BITS = 24, 5, 4
@@ -353,9 +353,11 @@ def linked_blocks(heads: DataFrame, cut: float, threshold: int) -> DataFrame:
     return heads.mapInArrow(run, "kind tinyint, a long, b long")
 
 
-def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], cut: float, threshold: int, partitions: int) -> tuple[DataFrame, list[DataFrame]]:
+def contracted(placed: DataFrame, classes: DataFrame, texts_of: Callable[[DataFrame, int], DataFrame], words: int, cut: float, threshold: int, partitions: int) -> tuple[DataFrame, list[DataFrame]]:
     """(rep, comp) of the classes of crowded buckets, and the links that made the groups.
 
+    Their texts are set aside by one pass over the documents, whatever the number of rounds.
+
     At first every class counts in one bucket, so a group lies in one bucket too and its rows,
     dealt by the group's name, meet in one block: names need no components to be worked out.
     Then groups of ``MEMBERS`` classes or more, which are few, meet in all crowded buckets.
@@ -364,6 +366,7 @@ def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFra
     top = F.max(F.struct("count", (-F.col("band")).alias("back"), "key")).alias("top")
     own = hot.groupBy("rep").agg(top).select("rep", (-F.col("top.back")).alias("band"), F.col("top.key").alias("key"), F.col("rep").alias("comp"))
     own, before = write_counted(own, "crowded")
+    texts = write_table(texts_of(own.select("rep"), before), "crowded_texts")
     links: list[DataFrame] = []
 
     def round_of(members: DataFrame, turn: int) -> tuple[DataFrame | None, int]:
@@ -375,7 +378,7 @@ def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFra
         dealt, n = write_counted(dealt, "heads")
         if not n or turn and n > 0.9 * before:
             return None, n
-        full = dealt.join(classes.select("rep", "n_shingles", "bits"), "rep").join(sets_of(dealt.select("rep"), n), "rep")
+        full = dealt.join(classes.select("rep", "n_shingles", "bits"), "rep").join(shingle_sets(among(texts, dealt.select("rep"), n), words), "rep")
         told = write_table(linked_blocks(grouped(full, ["band", "key", "block"], partitions), cut, threshold), "contracted")
         links.append(told.where(F.col("kind") == LINK).select(F.col("a").alias("source"), F.col("b").alias("target")))
         return told.where(F.col("kind") == MERGED).select(F.col("a").alias("comp"), F.col("b").alias("name")), n
@@ -393,6 +396,7 @@ def contracted(placed: DataFrame, classes: DataFrame, sets_of: Callable[[DataFra
             break
         merged = connected_components(names, "comp", "name").select(F.col("node").alias("comp"), F.col("component").alias("name"))
         groups = write_table(groups.join(merged, "comp", "left").select("rep", F.coalesce("name", "comp").alias("comp")), "crowded")
+    drop_table(texts)
     return groups, links
 
 
@@ -427,6 +431,13 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return common.id_and_text(docs).mapInArrow(run, "rep long, shingles binary")
 
 
+def among(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of the documents that ``wanted`` (rep; ``n`` rows) names; others are not shuffled."""
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    possible = common.with_possible(docs.select("doc_id", "text"), ids, n).where("possible")
+    return possible.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "text")
+
+
 def grouped(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
@@ -454,15 +465,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     crowded = banded.groupBy("band", "key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     placed, seen = write_observed(banded.join(crowded, ["band", "key"]), "placed", blocks=F.max("blocks"))
 
-    def sets_of(wanted: DataFrame, n: int) -> DataFrame:
-        ids = wanted.select(F.col("rep").alias("doc_id"))
-        possible = common.with_possible(docs.select("doc_id", "text"), ids, n).where("possible")
-        return shingle_sets(possible.join(ids.distinct(), "doc_id", "left_semi"), words)
-
-    groups, made = contracted(placed, classes, sets_of, cut, threshold, partitions) if (seen["blocks"] or 0) > 1 else (None, [])
+    groups, made = contracted(placed, classes, lambda wanted, n: among(docs, wanted, n), words, cut, threshold, partitions) if (seen["blocks"] or 0) > 1 else (None, [])
     buckets = left_to_compare(placed, groups).join(classes, "rep")
     kept, n = write_counted(likely(grouped(buckets, KEYS, partitions), cut, threshold), "likely")
-    links = confirmed(grouped(kept.join(sets_of(kept, n), "rep"), KEYS, partitions), threshold)
+    links = confirmed(grouped(kept.join(shingle_sets(among(docs, kept, n), words), "rep"), KEYS, partitions), threshold)
     for more in made:
         links = links.unionByName(more)
     repeated = filled.groupBy("doc_id").count().where("count > 1").select("doc_id")

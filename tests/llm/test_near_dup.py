@@ -100,6 +100,19 @@ def test_rows_of_a_large_group_grow_with_its_copies(spark, monkeypatch):
     assert sums[1] < 6 * sums[0]
 
 
+def test_passes_over_the_documents_do_not_follow_the_rounds(spark, monkeypatch):
+    """Texts of crowded buckets are set aside once; rounds of contraction read those, not all documents."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "MEMBERS", 4)
+    whole, linked, read, rounds = near_dup.common.with_possible, near_dup.linked_blocks, [], []
+    monkeypatch.setattr(near_dup.common, "with_possible", lambda rows, *a, **k: read.append(rows.count()) or whole(rows, *a, **k))
+    monkeypatch.setattr(near_dup, "linked_blocks", lambda *a: rounds.append(1) or linked(*a))
+    rows = [*near_copies(160, changes=6), *((1000 + i, prose(random.Random(i), 60)) for i in range(100))]
+    got = near_dup.near_duplicates(frame(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+    assert len(rounds) > 1 and sum(n == len(rows) for n in read) == 2
+
+
 def test_crowded_buckets_of_texts_that_are_not_linked(spark, monkeypatch):
     """Classes that share bands but few links, with chains and pairs among them."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
