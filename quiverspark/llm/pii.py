@@ -478,6 +478,7 @@ def fit(docs: DataFrame, options: Options = Options()) -> Field:
     schema = pa.schema([("doc_id", pa.int64()), ("ordinary", pa.list_(pa.list_(pa.int64()))), ("sure", pa.list_(pa.list_(pa.int64()))), ("labels", pa.list_(pa.int32())), ("edges", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in common.narrow_batches(batches):
             found = [(i, e) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if (e := example(t, options))]
             yield common.batch_of(schema, [[i for i, _ in found], *[[e[k] for _, e in found] for k in range(4)]])
@@ -509,6 +510,7 @@ def find_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in common.narrow_batches(batches):
             found = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in all_spans(t, field)] for t in batch["text"].to_pylist()]
             yield common.batch_of(schema, [batch["doc_id"], found])
@@ -544,6 +546,7 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     changed = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in common.narrow_batches(batches):
             columns = {n: batch[n] for n in names}
             texts = [None if t is None else redact(t, field) for t in batch["text"].to_pylist()]

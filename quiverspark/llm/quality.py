@@ -207,6 +207,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, the counts and the shares of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in common.narrow_batches(batches):
             both = [statistics(t) for t in batch["text"].to_pylist()]
             yield common.batch_of(MEASURED, [batch["doc_id"], *map(list, zip(*[c for c, _ in both], strict=True)), [s for _, s in both]])
@@ -219,6 +220,7 @@ def scored(rows: DataFrame, forest: Forest) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in batches:
             shares = batch["shares"].flatten().to_numpy().reshape(-1, len(SHARES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(shares))], names=[*batch.schema.names[:-1], "anomaly"])
@@ -273,6 +275,7 @@ def rule_abiding(docs: DataFrame, labels: DataFrame, options: Options = Options(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_nothing()
         for batch in common.narrow_batches(batches):
             both = [statistics(t or "") for t in batch["text"].to_pylist()]
             counts = np.array([c for c, _ in both]).reshape(-1, len(COUNTS))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -406,3 +407,19 @@ def test_registered_queries():
 
 
 pytestmark = pytest.mark.filterwarnings("ignore")
+
+
+@pytest.mark.parametrize("stage", [quality.measured, lambda docs: pii.find_spans(docs, pii.PRIOR)])
+def test_stages_let_go_of_what_earlier_ones_remember(stage, monkeypatch):
+    """A worker outlives stages, so one that remembers nothing must not carry an earlier one's memory along."""
+    common, tasks = quality.common, []
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            tasks.append(run)
+
+    monkeypatch.setattr(common, "id_and_text", lambda docs: Texts())
+    stage(None)
+    common.per_process("much", "", dict)
+    assert sum(b.num_rows for b in tasks[0](iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", ""]})]))) == 2
+    assert common._HELD[2] is None
