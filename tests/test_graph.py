@@ -402,3 +402,28 @@ def test_layers_of_a_traversal(spark):
         assert ids(traverse.nodes_within_hops(g, filters.element_set(g, [0]), 25, direction)) == reached
     chain = make(spark, [("N",)] * 24, [(i, i + 1, "E") for i in range(23)])
     assert rows(analytics.bfs(chain, 2).na.fill(-1)) == [(0, -1), (1, -1)] + [(i, i - 2) for i in range(2, 24)]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_shortlists_of_many_queries_are_those_of_each(spark, monkeypatch, chunk):
+    monkeypatch.setattr(sketch, "CHUNK", chunk)
+    monkeypatch.setattr(sketch, "DISTANCES", 3 * chunk)
+    monkeypatch.setattr(sketch, "KEPT", 40)
+    rng = np.random.default_rng(3)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(0, 1, 4))
+    g = make(spark, [("N", {}, [unit() for _ in range(1 + i % 3)]) for i in range(60)], [(0, 1, "E", {}, [unit()])])
+    g.vectors = g.vectors.repartition(3)
+    queries = [unit() for _ in range(7)]
+    for budget, target in ((10, NODES), (100, NODES), (9, (NODE, EDGE))):
+        alone = {(i, *r) for i, q in enumerate(queries) for r in sketch.shortlist(g, vectors.prepared_query(g, q), budget, target, None, None).collect()}
+        together = sketch.shortlist_many(g, queries, budget, target)
+        assert set(map(tuple, together.collect())) == alone
+    assert together.count() == 7 * 9
+
+
+def test_recall_of_many_queries_is_one_plan(spark):
+    """A plan for each query would grow with the vectors."""
+    from quiverspark import queries as registry
+
+    plan = registry.queries()["v14_recall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Union") <= 2 and plan.count("MapInArrow") <= 4
