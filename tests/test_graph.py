@@ -427,3 +427,25 @@ def test_recall_of_many_queries_is_one_plan(spark):
 
     plan = registry.queries()["v14_recall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert plan.count("Union") <= 2 and plan.count("MapInArrow") <= 4
+
+
+def test_searches_do_not_depend_on_the_size(spark, monkeypatch):
+    """Where a sketch would be planned the nearest by sketch alone would miss the true nearest."""
+    monkeypatch.setattr(planner, "EXACT_COMPONENTS", 0)
+    monkeypatch.setattr(planner, "EXACT_SET_COMPONENTS", {"wide": 0, "narrow": 0})
+    monkeypatch.setattr(planner, "_clamp", lambda n, low, high: 3)
+    rng = np.random.default_rng(6)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(0, 1, 4))
+    g = make(spark, [("N", {"a": i % 2}, [unit()]) for i in range(80)], [(i, i + 1, "E") for i in range(79)])
+    q, every = unit(), filters.elements_with_label(g, "N", NODES)
+    truth = rows(vectors.vector_search(g, q, 10))
+    assert planner.vector_search_plan(g, NODES).strategy == "sketch"
+    assert rows(sketch.vector_search_approximate(g, q, 10, 10)) != truth
+    for hits, plan in (sketch.vector_search_adaptive(g, q, 10), sketch.vector_search_within_adaptive(g, q, every, 10)):
+        assert rows(hits) == truth and (plan.strategy, plan.vectors, plan.budget) == ("exact", 80, 80)
+    assert rows(filtered.vector_search_filtered(g, q, 10, ElementFilter("N")).hits) == truth
+    assert rows(traverse.vector_search_graph_range(g, q, every).hits) == truth
+    late = rows(vectors.late_interaction_search(g, [q, E1], 10).select("id", "score"))
+    assert rows(sketch.late_interaction_adaptive(g, [q, E1], 10)[0].select("id", "score")) == late
+    semantic_hits = {(r["id"], r["facet"]) for r in explore.hybrid_search(g, "words", 10, explore.SEMANTIC, lambda text, n: q).hits.collect()}
+    assert semantic_hits == {(r["id"], r["facet"]) for r in vectors.vector_search(g, q, 10).collect()}
