@@ -32,7 +32,7 @@ def bfs(graph: Graph, source: int, max_depth: int | None = None) -> DataFrame:
 
 def wcc(graph: Graph) -> DataFrame:
     """(node, component): the smallest node id of each weakly connected component."""
-    touched = connected_components(graph.edges.select("source", "target"))
+    touched = connected_components(graph.ends)
     return graph.nodes.select(F.col("id").alias("node")).join(touched, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

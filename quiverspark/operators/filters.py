@@ -42,7 +42,7 @@ def edge_ids(graph: Graph) -> DataFrame:
 
 def vector(graph: Graph, kind: int, identifier: int, facet: int = 0) -> DataFrame:
     """One facet, or no row where it is out of range."""
-    return graph.vectors.where((F.col("kind") == kind) & (F.col("id") == identifier) & (F.col("facet") == facet))
+    return graph.vectors_of((kind,)).where((F.col("id") == identifier) & (F.col("facet") == facet))
 
 
 def symbols(graph: Graph) -> DataFrame:
@@ -75,9 +75,11 @@ def directions(direction: str) -> Column:
     return F.lit(True) if direction == BOTH else F.col("direction") == (0 if direction == OUT else 1)
 
 
-def steps(graph: Graph, direction: str, label: str | None = None) -> DataFrame:
-    """Adjacency in one or both directions; a self-loop is met once from its node."""
-    wanted = graph.adjacency.where(directions(direction))
+def steps(graph: Graph, direction: str, label: str | None = None, once: bool = False) -> DataFrame:
+    """Adjacency in one or both directions; a self-loop is met once from its node.
+
+    What walks ``once`` over all of it needs no adjacency by node and does not cause one to be stored."""
+    wanted = (graph.links if once else graph.adjacency).where(directions(direction))
     if label is not None:
         wanted = wanted.where(F.col("label") == label)
     return wanted.where("NOT (direction = 1 AND node = neighbor)") if direction == BOTH else wanted
@@ -108,7 +110,7 @@ def neighbors(graph: Graph, identifier: int, direction: str = BOTH, label: str |
 
 def degrees(graph: Graph, direction: str = BOTH) -> DataFrame:
     """(node, degree) of every node: distinct incident edges, a self-loop once."""
-    counted = steps(graph, direction).groupBy("node").agg(F.count("*").alias("degree"))
+    counted = steps(graph, direction, once=True).groupBy("node").agg(F.count("*").alias("degree"))
     return graph.nodes.select(F.col("id").alias("node")).join(counted, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
@@ -144,9 +146,7 @@ def _value() -> Column:
 
 def _flat(graph: Graph, target: tuple[int, ...], label: str | None, key: str) -> DataFrame:
     """Rows of one key: simple comparisons only, which Parquet's statistics can answer."""
-    found = graph.props.where(F.col("key") == key)
-    if target != BOTH_KINDS:
-        found = found.where(F.col("kind") == target[0])
+    found = graph.props_of(target, key)
     return found if label is None else found.where(F.col("label") == label)
 
 
@@ -232,8 +232,7 @@ def bounds_of(graph: Graph, predicates: Sequence[Predicate], target: tuple[int,
     """How many elements satisfy each predicate, in one pass over the rows of their keys."""
     if not predicates:
         return []
-    found = graph.props.where(F.col("key").isin(sorted({p.key for p in predicates})))
-    found = found if target == BOTH_KINDS else found.where(F.col("kind") == target[0])
+    found = graph.props_of(target, *sorted({p.key for p in predicates}))
     return list(found.agg(*[F.count_if((F.col("key") == p.key) & p.condition).alias(f"p{i}") for i, p in enumerate(predicates)]).first())
 
 

@@ -117,7 +117,7 @@ def hydrated(graph: Graph, found: DataFrame) -> DataFrame:
 
 def _scores(graph: Graph, prepared: np.ndarray, kind: int, ids: DataFrame) -> DataFrame:
     """(id, score) of the best facet of given elements."""
-    mine = graph.vectors.where(F.col("kind") == kind).join(ids.select("id").distinct(), "id", "left_semi")
+    mine = graph.vectors_of((kind,)).join(ids.select("id").distinct(), "id", "left_semi")
     best = vectors.best_facets(mine, prepared[None])
     return best.select("id", F.col("q0.score").alias("score"))
 

@@ -120,7 +120,7 @@ def semantic_paths(graph: Graph, query, options: SemanticPathOptions = SemanticP
         seeds = hits.orderBy("rank").select("id", "score")
     else:
         filters.require_nodes(graph, starts)
-        mine = graph.vectors.where((F.col("kind") == NODE) & F.col("id").isin(starts))
+        mine = graph.vectors_of(NODES).where(F.col("id").isin(starts))
         seeds = vectors.best_facets(mine, prepared[None]).select("id", F.col("q0.score").alias("score")).orderBy("id")
     seed_rows = [(r[0], r[1]) for r in seeds.collect()]  # at most seed_count, or as many as were given
     if not seed_rows:
@@ -131,7 +131,7 @@ def semantic_paths(graph: Graph, query, options: SemanticPathOptions = SemanticP
     walk = walk.join(near.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi").select("node", "direction", "neighbor", "edge")
 
     def element_scores(kind: int, ids: DataFrame, name: str) -> DataFrame:
-        mine = graph.vectors.where(F.col("kind") == kind).join(ids.distinct(), "id", "left_semi")
+        mine = graph.vectors_of((kind,)).join(ids.distinct(), "id", "left_semi")
         return vectors.best_facets(mine, prepared[None]).select(F.col("id").alias(name), F.col("q0.score").alias(f"{name}_score"))
 
     degree = steps(graph, BOTH).join(near.withColumnRenamed("id", "node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree")).withColumnRenamed("node", "neighbor")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quiverspark import commands, model
 from quiverspark.functions import embedding
 from quiverspark.graph import Graph
-from quiverspark.model import EDGE, NODE
+from quiverspark.model import EDGE, NODE, NODES
 from quiverspark.operators import filters
 from quiverspark.plans.workspace import new_path
 from quiverspark.registry import registered
@@ -41,8 +41,8 @@ def scenario(g: Graph) -> Scenario:
     if id(g) not in _MADE:
         path = new_path(g.spark, "scenario")
         nodes = g.nodes.where(F.col("label").isin(*LABELS))
-        edges = g.edges.where(F.col("label").isin(*EDGE_LABELS))
-        store.bulk_load(g.spark, path, nodes, edges, g.vectors.where("label = 'Nation'"), g.dimension)
+        edges = g.edges_of(*EDGE_LABELS)
+        store.bulk_load(g.spark, path, nodes, edges, g.vectors_of(NODES, "Nation"), g.dimension)
         s = store.open_graph(g.spark, path)
         t = s.transaction()
         a = t.create_node("Area", {"name": "north", "rank": 1}, [[1.0] + [0.0] * (g.dimension - 1)])
@@ -176,7 +176,7 @@ def s07(g):
     body = F.to_json(F.struct("label", F.struct("name", F.col("key").alias("number"), (F.col("key") + 0.5).alias("ratio"), F.lit(True).alias("live")).alias("properties")))
     name = F.when(F.col("label") == "Region", F.col("key").cast("string")).otherwise(F.concat(F.lit('"'), F.substring("label", 1, 1), F.col("key").cast("string"), F.lit('"')))
     n = _lines(nodes, [rank, "key"], F.concat(F.lit('{"id":'), name, F.lit(","), F.substring(body, 2, 1 << 30)), f"{path}/n")
-    links = g.edges.where("label IN ('IN_REGION', 'LIVES_IN')").select("label", F.floor(F.col("source") / 8).alias("s"), F.floor(F.col("target") / 8).alias("t"))
+    links = g.edges_of("IN_REGION", "LIVES_IN").select("label", F.floor(F.col("source") / 8).alias("s"), F.floor(F.col("target") / 8).alias("t"))
     nation = F.col("label") == "IN_REGION"
     line = F.when(nation, F.format_string('{"source":"N%d","target":%d,"label":"IN"}', "s", "t")).otherwise(F.format_string('{"source":"C%d","target":"N%d","label":"LIVES_IN"}', "s", "t"))
     e = _lines(links, [F.when(nation, 0).otherwise(1), "s"], line, f"{path}/e")
@@ -187,7 +187,7 @@ def s07(g):
 
 
 def _fbin(g: Graph, path: str) -> str:
-    rows = g.vectors.where("label = 'Nation'").select((F.col("facet") * 25 + F.floor(F.col("id") / 8)).alias("vec_id"), "vec").orderBy("vec_id").collect()
+    rows = g.vectors_of(NODES, "Nation").select((F.col("facet") * 25 + F.floor(F.col("id") / 8)).alias("vec_id"), "vec").orderBy("vec_id").collect()
     data = struct.pack("<II", len(rows), g.dimension) + b"".join(struct.pack(f"<{g.dimension}f", *r["vec"]) for r in rows)
     return _written(g.spark, path, data)
 
@@ -203,7 +203,7 @@ def s08(g):
 @registered("s09_import_node_fbin", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, 'L' || (vec_id % 7) AS label, vec_id AS number FROM embeddings")
 def s09(g):
     path = new_path(g.spark, "node_fbin")
-    n = g.spark.range(g.vectors.where("label = 'Nation'").count())
+    n = g.spark.range(g.vectors_of(NODES, "Nation").count())
     metadata = _lines(n, ["id"], F.format_string('{"label":"L%d","properties":{"number":%d}}', F.col("id") % 7, "id"), f"{path}/m")
     made = files.import_fbin(g.spark, f"{path}/g", _fbin(g, f"{path}/v.fbin"), metadata=metadata).graph
     return made.nodes.select("id", "label", F.col("props")["number"]["i"].alias("number"))
