@@ -449,3 +449,14 @@ def test_searches_do_not_depend_on_the_size(spark, monkeypatch):
     assert rows(sketch.late_interaction_adaptive(g, [q, E1], 10)[0].select("id", "score")) == late
     semantic_hits = {(r["id"], r["facet"]) for r in explore.hybrid_search(g, "words", 10, explore.SEMANTIC, lambda text, n: q).hits.collect()}
     assert semantic_hits == {(r["id"], r["facet"]) for r in vectors.vector_search(g, q, 10).collect()}
+
+
+def test_lexical_search_asks_a_label_once_and_numbers_only_where_they_may_match(spark):
+    g = make(spark, [("Nation_7", {"name": "x", "n": 7}), ("B", {"name": "a nation_7", "n": 70}), ("B", {"w": 1e20})], [(0, 1, "TO_NATION_7", {"w": 0.5})])
+    assert explore._never_in_numbers(["nation_7"]) and not explore._never_in_numbers(["nation_7", "7"]) and not explore._never_in_numbers(["1.0e20"])
+    found = {(r["kind"], r["id"]): r["score"] for r in explore.lexical_search(g, "NATION_7", 9).collect()}
+    assert found == {(NODE, 0): round(1.2 * 2.4, 9), (NODE, 1): round(1.5 * 1.9, 9), (EDGE, 0): round(1.2 * 1.9, 9)}
+    assert {(r["kind"], r["id"]) for r in explore.lexical_search(g, "7", 9).collect()} == {(NODE, 0), (NODE, 1), (EDGE, 0)}
+    assert {(r["kind"], r["id"]) for r in explore.lexical_search(g, "1.0e20", 9).collect()} == {(NODE, 2)}
+    plan = explore.titled(g, g.elements_of(NODES).select("kind", "id"), NODES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan

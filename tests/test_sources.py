@@ -354,3 +354,21 @@ def test_buckets_follow_the_bytes(spark, tmp_path, monkeypatch):
     s = bulk(spark, f"{tmp_path}/g")
     assert s.graph.buckets == 7
     assert store.compact_to(s, f"{tmp_path}/h", 3).graph.buckets == 3
+
+
+def test_the_fixture_writes_what_a_query_asks_for(spark):
+    """Checks of arguments need no graph, a store of customers no line items, searches of nodes no edges' vectors."""
+    from quiverspark import queries as registry
+    from quiverspark.sources import fixture
+
+    fixture._LOADED.clear()
+    sf, run = "/root/testdata/sf0.001", registry.queries()
+    graph = fixture.graph(spark, sf)
+    for name in ("p06_range_validation", "m02_create_edge", "m06_conflicts", "s03_read_only", "x03_titles", "v01_many_queries", "v14_recall", "p02_elements_matching"):
+        run[name](spark, sf).collect()
+        assert not {"items", "edges", "adjacency"} & set(graph.__dict__), name
+    assert set(graph._parts) == {("vectors", 0), ("sketch", 0)}
+    run["t13_degree"](spark, sf).collect()
+    assert "adjacency" not in graph.__dict__
+    run["g04_mismatches"](spark, sf).collect()
+    assert "adjacency" in graph.__dict__ and ("vectors", 1) not in graph._parts
