@@ -460,3 +460,55 @@ def test_lexical_search_asks_a_label_once_and_numbers_only_where_they_may_match(
     assert {(r["kind"], r["id"]) for r in explore.lexical_search(g, "1.0e20", 9).collect()} == {(NODE, 2)}
     plan = explore.titled(g, g.elements_of(NODES).select("kind", "id"), NODES)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Union" not in plan
+
+
+def test_a_whole_snapshot_is_neither_ordered_nor_limited_in_one_task(spark):
+    """Also an orbit: no window without a partition, no heap of all edges."""
+    g = make(spark, [("N",)] * 40, [(i, (i * 7) % 40, "E") for i in range(40)])
+    whole = explore.snapshot(g, 1 << 30, 1 << 30)
+    for frame in (whole.nodes, whole.edges, explore.orbit(whole)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan and "Window" not in plan
+    degree = [0] * 40
+    for i in range(40):
+        degree[i] += 1
+        degree[(i * 7) % 40] += 1
+    assert rows(whole.nodes.select("id", "degree")) == list(enumerate(degree)) and not whole.sampled
+    at = {r["id"]: (round(r["x"], 9), round(r["y"], 9)) for r in explore.orbit(whole).collect()}
+    assert at == {i: (round(float(np.cos(2 * np.pi * i / 40)), 9), round(float(np.sin(2 * np.pi * i / 40)), 9)) for i in range(40)}
+    g.edges = g.edges.unionByName(spark.createDataFrame([(99, 0, 77, "E", {}, 1)], model.EDGES_DDL))  # ends nowhere
+    assert rows(explore.snapshot(g, 1 << 30, 1 << 30).nodes.select("id", "degree")) == list(enumerate(degree))
+
+
+def test_places_in_an_order_sort_only_the_ranges_that_have_them(spark, monkeypatch):
+    ids = sorted({int(x) ** 2 for x in np.random.default_rng(4).integers(0, 3000, 900)})
+    frame = spark.createDataFrame([(i, -i) for i in ids], "id bigint, v bigint").repartition(5)
+    for ranges in (4, 1 << 16):
+        monkeypatch.setattr(explore, "RANGES", ranges)
+        monkeypatch.setattr(explore, "HEAP", 3)
+        for stride, limit in ((2, 10_000), (7, 20), (400, 9), (5000, 3)):
+            assert [r["id"] for r in explore._nth(frame, "id", stride, limit)] == ids[::stride][:limit]
+        for limit in (2, 50, 10_000):
+            assert sorted(r["id"] for r in explore._first(frame, "id", limit).collect()) == ids[:limit]
+
+
+@pytest.mark.parametrize("rows_at_once, scores, kept", [(1 << 13, 1 << 22, 1 << 22), (5, 15, 12)])
+def test_many_queries_hold_a_bounded_number_of_scores(spark, monkeypatch, rows_at_once, scores, kept):
+    monkeypatch.setattr(vectors, "ROWS", rows_at_once)
+    monkeypatch.setattr(vectors, "SCORES", scores)
+    monkeypatch.setattr(vectors, "KEPT", kept)
+    rng = np.random.default_rng(12)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(0, 1, 4))
+    few = [unit() for _ in range(6)]  # shared vectors, so that scores tie
+    g = make(spark, [("N", {}, [few[(i * f) % 6] if f else unit() for f in range(1 + i % 3)]) for i in range(50)])
+    queries = [unit() for _ in range(11)]
+    found = vectors.vector_search_many(g, queries, 4)
+    wanted = []
+    for n, q in enumerate(queries):
+        best = {}
+        for r in g.vectors.collect():
+            s = round(float(np.dot(np.float64(r["vec"]), q)), 9)
+            best[r["kind"], r["id"]] = max(best.get((r["kind"], r["id"]), (-9, 0)), (s, -r["facet"]))
+        top = sorted(((s, *e, -f) for e, (s, f) in best.items()), key=lambda x: (-x[0], -x[1], -x[2]))[:4]
+        wanted += [(n, *e, f, s) for s, *e, f in top]
+    assert rows(found.select("query", "kind", "id", "facet")) == sorted((a, b, c, d) for a, b, c, d, _ in wanted)
