@@ -62,13 +62,63 @@ def hash_embedding(text: str, dimension: int) -> np.ndarray:
     return v
 
 
+def hash_embeddings(texts: Sequence[str], dimension: int) -> np.ndarray:
+    """``hash_embedding`` of every text, a row each: the same sums in the same order, for all texts at once."""
+    out = np.zeros((len(texts), dimension), dtype=np.float32)
+    if not dimension or not len(texts):
+        return out
+    owner, pieces = [], []
+    for i, text in enumerate(texts):
+        lowered = ascii_lower(text)
+        words = [t.encode() for t in tokens(lowered) if t]
+        if not words:
+            out[i] = hash_embedding(text, dimension)
+        pieces += words
+        owner += [i] * len(words)
+    if not pieces:
+        return out
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    prime, rows = np.uint64(FNV_PRIME), np.asarray(owner, dtype=np.int64)
+    # whole tokens, a byte of each at a time
+    h = np.full(len(pieces), FNV_OFFSET, dtype=np.uint64)
+    at, k = np.arange(len(pieces)), 0
+    while len(at):
+        h[at] = (h[at] ^ data[starts[at] + k]) * prime
+        k += 1
+        at = at[lengths[at] > k]
+    # byte trigrams that lie in one token
+    inside = np.repeat(starts + lengths, lengths) - np.arange(len(data)) >= 3
+    place = np.flatnonzero(inside)
+    t = np.full(len(place), FNV_OFFSET, dtype=np.uint64)
+    for j in range(3):
+        t = (t ^ data[place + j]) * prime
+    # a token is added before its trigrams, as one text alone is
+    hashes, order = np.concatenate((h, t)), np.argsort(np.concatenate((2 * starts, 2 * place + 1)), kind="stable")
+    weights = np.concatenate((np.full(len(h), TOKEN_WEIGHT, dtype=np.float32), np.full(len(t), TRIGRAM_WEIGHT, dtype=np.float32)))
+    weights = np.where(hashes >> np.uint64(63), -weights, weights)
+    owners = np.concatenate((rows, np.repeat(rows, lengths)[place]))
+    cells = owners * dimension + (hashes % np.uint64(dimension)).astype(np.int64)
+    np.add.at(out.reshape(-1), cells[order], weights[order])
+    for i in np.unique(rows):
+        norm = math.sqrt(float((out[i] * out[i]).sum()))
+        if norm > np.finfo(np.float32).eps:
+            out[i] /= np.float32(norm)
+        else:
+            out[i] = 0
+            out[i, 0] = 1
+    return out
+
+
 def hash_embed(text: Column | str, dimension: int) -> Column:
     """The hash embedding of a text column, in Arrow batches; distinct texts of a batch are embedded once."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known = {t: hash_embedding(t, dimension) for t in texts.dropna().unique()}
-        return pd.Series([known.get(t) for t in texts], dtype=object)
+        codes, known = pd.factorize(texts)  # nulls are -1
+        vectors = hash_embeddings(list(known), dimension)
+        return pd.Series([vectors[c] if c >= 0 else None for c in codes], dtype=object)
 
     return embed(F.col(text) if isinstance(text, str) else text)
 
@@ -103,7 +153,7 @@ def embed_unique(rows: DataFrame, column: str, embed: Callable[[Sequence[str], i
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 texts = part["__text"].tolist()
-                found = embed(texts, dimension) if embed is not None else [hash_embedding(t, dimension) for t in texts]
+                found = embed(texts, dimension) if embed is not None else hash_embeddings(texts, dimension)
                 yield pd.DataFrame({"__text": texts, "embedding": [np.asarray(v, dtype=np.float32) for v in found]})
 
     known = unique.mapInPandas(run, "__text string, embedding array<float>")
