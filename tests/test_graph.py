@@ -512,3 +512,42 @@ def test_many_queries_hold_a_bounded_number_of_scores(spark, monkeypatch, rows_a
         top = sorted(((s, *e, -f) for e, (s, f) in best.items()), key=lambda x: (-x[0], -x[1], -x[2]))[:4]
         wanted += [(n, *e, f, s) for s, *e, f in top]
     assert rows(found.select("query", "kind", "id", "facet")) == sorted((a, b, c, d) for a, b, c, d, _ in wanted)
+
+
+def test_embeddings_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(9)
+    texts = ["", " ", "?!", "a", "ab", "abc abc", "Größe ÄÖ straße", "x_1 y-2", "日本語 テキスト", "é" * 9] + ["".join(rng.choice(list("abc_ Z9é-"), rng.integers(0, 40))) for _ in range(200)]
+    for dimension in (0, 1, 7, 64, 300):
+        many = embedding.hash_embeddings(texts, dimension)
+        assert all((m == embedding.hash_embedding(t, dimension)).all() for m, t in zip(many, texts, strict=True))
+
+
+def test_a_set_is_broadcast_and_kinds_that_it_lacks_are_not_read(spark, no_broadcasts):
+    g = make(spark, [("N", {}, [E1]), ("N", {}, [E2])], [(0, 1, "E", {}, [E1])])
+    asked, whole = [], g.vectors_of
+    g.vectors_of = lambda target, label=None: asked.append(target) or whole(target, label)
+    hits = vectors.vector_search_within(g, E1, filters.element_set(g, [0]), 3)
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert asked == [(NODE,)] and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [(r["kind"], r["id"]) for r in hits.collect()] == [(NODE, 0)]
+    both = vectors.vector_search_within(g, E1, filters.element_set(g, [1], [0]), 3)
+    assert [(r["kind"], r["id"]) for r in both.collect()] == [(EDGE, 0), (NODE, 1)]
+    assert vectors.vector_search_within(g, E1, filters.element_set(g), 3).isEmpty()
+
+
+def test_first_edges_are_an_aggregate(spark):
+    from quiverspark.sources import files
+
+    edges = spark.createDataFrame([(0, 1, "E", 5, "b"), (0, 1, "E", 3, "a"), (0, 1, "F", 9, None), (1, 0, "E", 2, "c")], "source bigint, target bigint, label string, seq bigint, x string")
+    first = files.first_edges(edges)
+    assert first.columns == edges.columns and rows(first.fillna("-")) == [(0, 1, "E", 3, "a"), (0, 1, "F", 9, "-"), (1, 0, "E", 2, "c")]
+    assert "Window" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_written_by_many_tasks_in_order(spark, tmp_path):
+    from quiverspark.queries_store import _lines
+    from quiverspark.sources.rows import lines
+
+    path = _lines(spark.range(5000).repartition(3), ["id"], model.F.col("id").cast("string"), str(tmp_path / "v"))
+    told = lines(spark, path)
+    assert rows(told) == [(i, str(i)) for i in range(5000)] and len(told.sparkSession.read.text(path).inputFiles()) > 1
