@@ -12,6 +12,8 @@ from quiverspark.plans.workspace import Seen, drop_table, partitions_for, write_
 
 UNREACHABLE = (1 << 63) - 1
 DAMPING, ITERATIONS = 0.85, 10
+#: Links a bucket: so many are sorted in memory.
+ROWS_A_BUCKET = 1 << 19
 
 
 def bfs(graph: Graph, source: int, max_depth: int | None = None) -> DataFrame:
@@ -46,10 +48,12 @@ def pagerank(graph: Graph, damping: float = DAMPING, iterations: int = ITERATION
     n = graph.node_count
     if n == 0:
         return graph.spark.createDataFrame([], "node bigint, rank double")
-    pairs = graph.edges.groupBy("source", "target").agg(F.count("*").alias("w"))
-    out = graph.edges.groupBy("source").agg(F.count("*").alias("out"))
-    shares = pairs.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share"))
-    links, table = write_bucketed(shares, "links", "source", partitions_for(graph.edges))
+    buckets = max(partitions_for(graph.ends), -(-graph.edge_count // ROWS_A_BUCKET))
+    ends = graph.ends.repartition(buckets, "source")  # the one time that edges move: what follows is counted where they lie
+    pairs = ends.groupBy("source", "target").agg(F.count("*").alias("w"))
+    out = graph.ends.groupBy("source").agg(F.count("*").alias("out"))
+    shares = pairs.join(ends.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", (F.col("w") / F.col("out")).alias("share"))
+    links, table = write_bucketed(shares, "links", "source", buckets, dealt=True)
     lost = F.sum(F.when(F.col("dangling"), F.col("rank")))  # taken while a round's ranks are written
     first = nodes.join(out.withColumnRenamed("source", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
     ranks, seen = write_observed(first, "ranks", lost=lost)

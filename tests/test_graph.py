@@ -551,3 +551,11 @@ def test_lines_are_written_by_many_tasks_in_order(spark, tmp_path):
     path = _lines(spark.range(5000).repartition(3), ["id"], model.F.col("id").cast("string"), str(tmp_path / "v"))
     told = lines(spark, path)
     assert rows(told) == [(i, str(i)) for i in range(5000)] and len(told.sparkSession.read.text(path).inputFiles()) > 1
+
+
+def test_rank_moves_the_edges_once(spark, monkeypatch, no_broadcasts):
+    g = make(spark, [("N",)] * 30, [(i % 30, (i * 7) % 30, "E") for i in range(90)])
+    plans, write = [], analytics.write_bucketed
+    monkeypatch.setattr(analytics, "write_bucketed", lambda df, *rest, **more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *rest, **more))
+    assert abs(sum(r["rank"] for r in analytics.pagerank(g).collect()) - 1) < 1e-9
+    assert plans[0].count("RepartitionByExpression [source") == 2  # one exchange, used twice by both sides of the join
